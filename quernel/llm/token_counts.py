@@ -34,6 +34,11 @@ def byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _blank(c: str) -> bool:
+    """White space as the vocabulary's pattern has it: not the four separators of ASCII."""
+    return c.isspace() and c not in "\x1c\x1d\x1e\x1f"
+
+
 class PrefixCounter:
     """Counts tokens of words and of all their prefixes, and remembers them."""
 
@@ -156,15 +161,16 @@ class PrefixCounter:
                     at += len(c.encode())
                     step.append(counts[at])
                 own = [base + c for c in step]
-                if space and word[0].isspace():
-                    lead = len(word) if word.isspace() else 1
+                blank = all(map(_blank, word))
+                if space and _blank(word[0]):
+                    lead = len(word) if blank else 1
                     for k in range(lead):  # cut after its blanks, the run of white space is one word
                         own[k] = before + self.prefixes((space + word[: k + 1]).encode())[-1]
                 if word[0] == "'" and len(word) == 3 and word[1] in "rvl":
                     own[1] = base + 2
                 out += own
                 base += counts[-1]
-                if word.isspace():
+                if blank:
                     if not space:
                         before = base - counts[-1]
                     space += word
