@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, mixing, packing, quality, simhash, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_mixing": mixing.query,
+    "op4_quality_rules": quality.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_token_counts": token_counts.query,
+    "op10_simhash": simhash.query,
 }
 
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL}
