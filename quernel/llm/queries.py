@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, secrets, simhash, token_counts
+from . import exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_token_counts": token_counts.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_secrets": secrets.query,
     "op10_simhash": simhash.query,
 }
