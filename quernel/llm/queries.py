@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_counts
+from . import exact_dedup, line_dedup, mixing, packing, pii, quality, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_mixing": mixing.query,
+    "op3_pii": pii.query,
     "op4_quality_rules": quality.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_token_counts": token_counts.query,
