@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, pii, quality, secrets, simhash, token_counts
+from . import exact_dedup, licenses, line_dedup, mixing, packing, pii, quality, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_token_counts": token_counts.query,
+    "op7_license_scan": licenses.query,
     "op8_line_dedup": line_dedup.query,
     "op9_secrets": secrets.query,
     "op10_simhash": simhash.query,
