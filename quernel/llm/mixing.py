@@ -113,7 +113,7 @@ def route(patterns: dict[tuple, int], goal: dict[str | None, float], most: int =
 
 
 def mixed(docs: DataFrame, member: Column | None = None, size: Column | None = None, weights=(5, 2, 1), share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """``docs`` with m_size, m_pattern, m_source_size, m_target, m_taken and m_times.
+    """``m_row`` (a struct of the row), m_size, m_pattern, m_source_size, m_target, m_taken, m_times.
 
     ``member`` is an array of the sources that a row belongs to (by default its ``source``
     alone); m_source_size and m_target are those of the first.  Texts are read twice: for a
@@ -121,7 +121,8 @@ def mixed(docs: DataFrame, member: Column | None = None, size: Column | None = N
     """
     spark = docs.sparkSession
     member = F.array("source") if member is None else F.array_sort(F.array_distinct(member))
-    rows = docs.withColumns({"m_size": size_of(F.col("text")) if size is None else size, "m_pattern": member})
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m_row"), (size_of(F.col("text")) if size is None else size).alias("m_size"), member.alias("m_pattern")]
+    rows = docs.select("doc_id", *own)
     ranks = [F.pmod(F.xxhash64(F.lit(seed + k), F.col("doc_id")), F.lit(CELLS)).cast("int").alias(f"m_rank{k}") for k in range(LEVELS)]
     thin = saved(rows.select("m_size", "m_pattern", *ranks), "sizes")
     sums = thin.groupBy("m_pattern").agg(F.sum("m_size").alias("n")).collect()
@@ -149,7 +150,7 @@ def mixed(docs: DataFrame, member: Column | None = None, size: Column | None = N
             x[5].append(x[5][-1] - (found[k].upto if k in found else 0))
     rows = rows.select("*", *ranks).join(_plans(spark, plan), F.col("m_pattern").eqNullSafe(F.col("p"))).drop("p")
     rows = rows.withColumn("m_times", F.col("m_whole") + _once_more().cast("long")).withColumn("m_taken", F.col("m_times") * F.col("m_size"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "m_size", "m_pattern", "m_source_size", "m_target", "m_taken", "m_times")
+    return rows.select("m_row", "m_size", "m_pattern", "m_source_size", "m_target", "m_taken", "m_times")
 
 
 def _plans(spark, plan: dict) -> DataFrame:
@@ -169,11 +170,10 @@ def _once_more() -> Column:
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    out = mixed(docs, **how)
-    out = out.withColumn("m_copy", F.explode(F.expr("sequence(1, greatest(m_times, 1))"))).where("m_times > 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = mixed(docs, **how).where("m_times > 0")
+    return out.select("m_row", F.explode(F.expr("sequence(1L, m_times)"))).select("m_row.*")
 
 
 def query(spark, sf_dir):
     out = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), F.col("m_taken").alias("taken"))
+    return out.select("m_row.doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), F.col("m_taken").alias("taken"))

@@ -280,14 +280,15 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _rate(batches: Iterator, model: _Shared) -> Iterator:
-    """Each row with its base figures and ``entropy``, the mean of -log p over its characters."""
+    """``q_row`` as it came with its base figures and the mean of -log p over its characters."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     logp = _expand(model)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        carried = batch.drop_columns(["text"]) if "text_" not in batch.schema.names else batch.drop_columns(["text"]).rename_columns([x if x != "text_" else "text" for x in batch.schema.names if x != "text"])
+        row = batch.column(0)
+        texts = (batch.column(1) if batch.num_columns > 1 else pc.struct_field(row, "text")).to_pylist()
         found: dict[str, list] = {x: [] for x in (*FIGURES, "entropy")}
         for _, _, block in blocks(texts):
             for k, v in block.base().items():
@@ -296,7 +297,7 @@ def _rate(batches: Iterator, model: _Shared) -> Iterator:
             upto = np.cumsum(block.size)
             found["entropy"].append(-(sums[upto] - sums[upto - block.size]) / np.maximum(block.size, 1))
         cols = [pa.array(np.concatenate(found[x]).astype(np.int64 if x != "entropy" else np.float64)) for x in found]
-        yield pa.RecordBatch.from_arrays([*carried.columns, *cols], [*carried.schema.names, *found])
+        yield pa.RecordBatch.from_arrays([row, *cols], ["q_row", *(f"q_{x}" for x in found)])
 
 
 def train(docs: DataFrame) -> _Shared:
@@ -311,22 +312,19 @@ def train(docs: DataFrame) -> _Shared:
 
 
 def rated(docs: DataFrame, model: _Shared, carry: list[str]) -> DataFrame:
-    """``carry`` columns, base figures, ``entropy`` and ``base_failed`` of every row."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(*[F.col(f"`{c}`") if c != "text" else F.col("text").alias("text_") for c in carry], "text")
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"q_{x} long" for x in FIGURES] + ["q_entropy double"])
-    rows = rows.mapInArrow(lambda it: _prefixed(_rate(it, model)), schema)
+    """``q_row`` (a struct of the ``carry`` columns), base figures, ``q_entropy``, ``q_base_failed``.
+
+    Carried columns stay inside the struct, so that their names clash with nothing.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("q_row")
+    rows = docs.select(row) if "text" in carry else docs.select(row, "text")
+    kind = rows.schema["q_row"].dataType.simpleString()
+    schema = ", ".join([f"q_row {kind}"] + [f"q_{x} long" for x in FIGURES] + ["q_entropy double"])
+    rows = rows.mapInArrow(lambda it: _rate(it, model), schema)
     few = (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > MAX_REPEATED * F.col("q_n_words"))
     return rows.withColumn("q_base_failed", few)
 
 
-def _prefixed(batches: Iterator) -> Iterator:
-    """Own columns get a prefix, so that they clash with none of the table's."""
-    for b in batches:
-        own = len(FIGURES) + 1
-        yield b.rename_columns(b.schema.names[:-own] + [f"q_{x}" for x in b.schema.names[-own:]])
-
-
 def bands(figures: DataFrame) -> DataFrame:
     """``q_tongue, q_low, q_high`` from rows of ``q_tongue, q_entropy`` (a row for '*' holds for the rest)."""
     cell = F.floor(F.col("q_entropy") * CELLS).cast("int").alias("cell")
@@ -345,37 +343,35 @@ def bands(figures: DataFrame) -> DataFrame:
 
 def _tongue():
     """The language as a key: null has one of its own, and none is '*'."""
-    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("?"))
+    return F.coalesce(F.concat(F.lit("="), F.col("q_row.lang")), F.lit("?"))
 
 
-def quality(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Every row with q_* figures, ``q_base_failed`` and the verdict ``q_kept``.
+def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """``q_row``, figures, ``q_base_failed`` and the verdict ``q_kept`` of every row.
 
-    Four passes read the texts' column and none shuffles it: counts, ratings for the bands,
-    and the final rating.
+    Three passes read the texts and none shuffles them: counts, ratings for the bands, and
+    the final rating.
     """
-    carry = list(docs.columns) if carry is None else carry
-    if "lang" not in docs.columns:
-        docs = docs.withColumn("lang", F.lit(None).cast("string"))
     model = train(docs)
-    own = [*carry, *(["lang"] if "lang" not in carry else [])]
     sound = rated(docs, model, ["lang"]).where("NOT q_base_failed")
     found = bands(sound.select(_tongue().alias("q_tongue"), "q_entropy"))
-    rest = found.where("q_tongue = '*'").select(F.col("q_low").alias("q_low_"), F.col("q_high").alias("q_high_"))
-    rows = rated(docs, model, own).withColumn("q_tongue", _tongue())
-    wide = rest.first() or (float("-inf"), float("inf"))
-    rows = rows.join(found, "q_tongue", "left")
+    wide = found.where("q_tongue = '*'").select("q_low", "q_high").first() or (float("-inf"), float("inf"))
+    rows = rated(docs, model, carry).withColumn("q_tongue", _tongue()).join(found, "q_tongue", "left")
     low, high = F.coalesce("q_low", F.lit(wide[0])), F.coalesce("q_high", F.lit(wide[1]))
-    rows = rows.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_entropy") >= low) & (F.col("q_entropy") <= high))
-    return rows.select(*[F.col(f"`{c}`") for c in carry], *[f"q_{x}" for x in FIGURES], "q_entropy", "q_base_failed", "q_kept")
+    return rows.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_entropy") >= low) & (F.col("q_entropy") <= high))
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """One row per row: doc_id, lang, base figures, base_failed, kept, entropy."""
+    out = _judged(docs, ["doc_id", "lang"])
+    names = [*FIGURES, "base_failed", "kept", "entropy"]
+    return out.select("q_row.doc_id", "q_row.lang", *[F.col(f"q_{x}").alias(x) for x in names])
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, as they were."""
-    return quality(docs).where("q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, docs.columns).where("q_kept").select("q_row.*")
 
 
 def query(spark, sf_dir):
-    out = quality(table(spark, sf_dir, "documents"), ["doc_id"])
-    names = [*FIGURES, "base_failed", "kept", "entropy"]
-    return out.select("doc_id", *[F.col(f"q_{x}").alias(x) for x in names])
+    return quality(table(spark, sf_dir, "documents")).drop("lang")

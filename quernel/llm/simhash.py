@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, partitions, saved, table
@@ -197,5 +197,19 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, chunk: int = CH
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the least doc_id stays.
+
+    Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id
+    cannot be named and stay as they are.
+    """
+    rows = saved(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "keepers")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("s_row"), F.col("doc_id").alias("s_id"))
+    own = row.join(rows.withColumnRenamed("doc_id", "s_id"), "s_id", "left_semi")
+    first = Window.partitionBy("s_id").orderBy(F.xxhash64("s_row.text"))
+    own = own.withColumn("s_no", F.row_number().over(first)).where("s_no = 1").select("s_row.*")
+    return own.union(docs.where("doc_id IS NULL"))
+
+
 def query(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
