@@ -14,8 +14,9 @@ import unicodedata
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Latin letters and common punctuation: NFC-stable, one meaning in every Unicode version.
+#: Latin letters and common punctuation: NFC-stable, one meaning in every Unicode version, lower case among them.
 _PLAIN = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC, 0x2030, 0x2032, 0x2033, 0x2039, 0x203A]]
+_PLAIN = [c for c in _PLAIN if all(x in _PLAIN for x in c.lower())]
 _kind = {c: unicodedata.category(c) for c in _PLAIN}
 _SPACE = {c for c in _PLAIN if c in "\t\n\x0b\x0c\r \x85\xa0" or _kind[c] in ("Zs", "Zl", "Zp")}
 
