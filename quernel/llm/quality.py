@@ -8,9 +8,10 @@ at most 2 ** 24 + 2 ** 18 + 2 ** 12 + 2 ** 6 entries (some 200 MB; real text has
 thousand), and that is the bound of what is broadcast.
 
 Every language gets a lower and an upper band for the mean negative log probability a
-character: Tukey's outer fences, three times the distance of the quartiles beyond them, from a
-histogram over all its documents that pass the base rules.  Repetitive junk lies below, noise
-above.  Languages with fewer than MIN_DOCS such documents share the band of all documents.
+character, from histograms over all its documents that pass the base rules: its median, and
+REACH robust standard deviations (from the median absolute deviation) to both sides.  A mean over
+few words varies more, so deviations are scaled by the root of the number of words.  Repetitive
+junk lies below, noise above.  No language is judged by the centre of others.
 
 Null texts have no words (base_failed); a null language is one of its own; repeated rows are
 rated alike; an empty table gives an empty result.
@@ -30,8 +31,8 @@ ORDER, BITS = 4, 6
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
-FENCE = 3.0
-MIN_DOCS = 100
+#: The customary cut of a modified z-score.
+REACH = 3.5
 #: Histogram cells per unit (nat a character).
 CELLS = 500
 #: Characters that are worked on at once, unless one text is longer.
@@ -325,20 +326,33 @@ def rated(docs: DataFrame, model: _Shared, carry: list[str]) -> DataFrame:
     return rows.withColumn("q_base_failed", few)
 
 
-def bands(figures: DataFrame) -> DataFrame:
-    """``q_tongue, q_low, q_high`` from rows of ``q_tongue, q_entropy`` (a row for '*' holds for the rest)."""
-    cell = F.floor(F.col("q_entropy") * CELLS).cast("int").alias("cell")
-    counts = figures.select("q_tongue", cell).groupBy("q_tongue", "cell").agg(F.count(F.lit(1)).alias("n"))
-    counts = saved(counts, "cells")
-    every = counts.groupBy(F.lit("*").alias("q_tongue"), "cell").agg(F.sum("n").alias("n"))
-    counts = counts.union(every)
+def _medians(values: DataFrame) -> DataFrame:
+    """``q_tongue, q_mid, q_n``: the median of ``q_tongue, q_value`` by histogram, and the number of rows."""
+    cell = F.floor(F.col("q_value") * CELLS).cast("int").alias("cell")
+    counts = saved(values.select("q_tongue", cell).groupBy("q_tongue", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    counts = counts.union(counts.groupBy(F.lit("*").alias("q_tongue"), "cell").agg(F.sum("n").alias("n")))
     run = "sum(n) OVER (PARTITION BY q_tongue ORDER BY cell)"
     ranked = counts.selectExpr("q_tongue", "cell", f"{run} AS upto", "sum(n) OVER (PARTITION BY q_tongue) AS total")
-    q = lambda part: F.min(F.when(F.col("upto") >= part * F.col("total"), F.col("cell") / CELLS))
-    fences = ranked.groupBy("q_tongue").agg(q(0.25).alias("q1"), q(0.75).alias("q3"), F.max("total").alias("total"))
-    fences = fences.where((F.col("total") >= MIN_DOCS) | (F.col("q_tongue") == "*"))
-    reach = FENCE * (F.col("q3") - F.col("q1") + 2 / CELLS)
-    return saved(fences.select("q_tongue", (F.col("q1") - reach).alias("q_low"), (F.col("q3") + reach).alias("q_high")), "bands")
+    mid = F.min(F.when(2 * F.col("upto") >= F.col("total"), (F.col("cell") + 0.5) / CELLS))
+    return ranked.groupBy("q_tongue").agg(mid.alias("q_mid"), F.max("total").alias("q_n"))
+
+
+def _off(centre: str):
+    """How far a row is from its language's centre, for its number of words."""
+    return F.abs(F.col("q_entropy") - F.col(centre)) * F.sqrt("q_n_words")
+
+
+def bands(figures: DataFrame) -> DataFrame:
+    """``q_tongue, q_centre, q_reach`` from rows of ``q_tongue, q_entropy, q_n_words``."""
+    figures = saved(figures, "figures")
+    centres = saved(_medians(figures.withColumnRenamed("q_entropy", "q_value")).where("q_tongue <> '*'").select("q_tongue", F.col("q_mid").alias("q_centre")), "centres")
+    off = figures.join(F.broadcast(centres), "q_tongue").select("q_tongue", _off("q_centre").alias("q_value"))
+    spreads = saved(_medians(off).withColumn("q_spread", 1.4826 * F.col("q_mid")), "spreads")
+    every = spreads.where("q_tongue = '*'").select(F.col("q_spread").alias("q_every"))
+    own, common = F.col("q_spread"), F.col("q_every")
+    # half the common spread at least: many copies of a text are no measure of a language
+    reach = REACH * F.greatest(own, common / 2)
+    return saved(centres.join(spreads, "q_tongue").crossJoin(every).select("q_tongue", "q_centre", reach.alias("q_reach")), "bands")
 
 
 def _tongue():
@@ -354,11 +368,10 @@ def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     """
     model = train(docs)
     sound = rated(docs, model, ["lang"]).where("NOT q_base_failed")
-    found = bands(sound.select(_tongue().alias("q_tongue"), "q_entropy"))
-    wide = found.where("q_tongue = '*'").select("q_low", "q_high").first() or (float("-inf"), float("inf"))
+    found = bands(sound.select(_tongue().alias("q_tongue"), "q_entropy", "q_n_words"))
     rows = rated(docs, model, carry).withColumn("q_tongue", _tongue()).join(found, "q_tongue", "left")
-    low, high = F.coalesce("q_low", F.lit(wide[0])), F.coalesce("q_high", F.lit(wide[1]))
-    return rows.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_entropy") >= low) & (F.col("q_entropy") <= high))
+    # a language without a band has no sound document
+    return rows.withColumn("q_kept", ~F.col("q_base_failed") & F.coalesce(_off("q_centre") <= F.col("q_reach"), F.lit(False)))
 
 
 def quality(docs: DataFrame) -> DataFrame:

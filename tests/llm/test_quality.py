@@ -47,3 +47,21 @@ def test_noise_goes_and_prose_stays(spark):
     got = {r.doc_id: r for r in quality.quality(table(spark, texts)).collect()}
     assert all(got[k].kept for k in range(1, 301)) and not any(got[k].kept for k in range(301, 304))
     assert quality.filtered(table(spark, texts)).count() == 300
+
+
+def _figures(spark, rows):
+    return {r.q_tongue: r for r in quality.bands(spark.createDataFrame(rows, "q_tongue string, q_entropy double, q_n_words long")).collect()}
+
+
+def _inside(band, entropy, words):
+    return abs(entropy - band.q_centre) * words**0.5 <= band.q_reach
+
+
+def test_much_junk_does_not_widen_a_band(spark):
+    rnd = random.Random(8)
+    good = [(rnd.randint(50, 500)) for _ in range(700)]
+    sound = [("=es", 2.2 + rnd.gauss(0, 0.3) / n**0.5, n) for n in good]
+    junk = [("=es", 2.2 + rnd.choice([-0.2, 0.2]) + rnd.gauss(0, 0.01), 250) for _ in range(300)]
+    band = _figures(spark, sound + junk)["=es"]
+    assert sum(_inside(band, e, n) for _, e, n in sound) >= 0.99 * len(sound)
+    assert sum(_inside(band, e, n) for _, e, n in junk) <= 0.05 * len(junk)
