@@ -11,7 +11,9 @@ Every language gets a lower and an upper band for the mean negative log probabil
 character, from histograms over all its documents that pass the base rules: its median, and
 REACH robust standard deviations (from the median absolute deviation) to both sides.  A mean over
 few words varies more, so deviations are scaled by the root of the number of words.  Repetitive
-junk lies below, noise above.  No language is judged by the centre of others.
+junk lies below, noise above.  No language is judged by the centre of others: the spread of one with few
+documents is drawn towards the common one (as if by PRIOR more documents) and its band is wider
+by the root of 1 + PRIOR / n, which goes over smoothly into that of a frequent language.
 
 Null texts have no words (base_failed); a null language is one of its own; repeated rows are
 rated alike; an empty table gives an empty result.
@@ -33,6 +35,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 #: The customary cut of a modified z-score.
 REACH = 3.5
+PRIOR = 10
 #: Histogram cells per unit (nat a character).
 CELLS = 500
 #: Characters that are worked on at once, unless one text is longer.
@@ -349,9 +352,10 @@ def bands(figures: DataFrame) -> DataFrame:
     off = figures.join(F.broadcast(centres), "q_tongue").select("q_tongue", _off("q_centre").alias("q_value"))
     spreads = saved(_medians(off).withColumn("q_spread", 1.4826 * F.col("q_mid")), "spreads")
     every = spreads.where("q_tongue = '*'").select(F.col("q_spread").alias("q_every"))
-    own, common = F.col("q_spread"), F.col("q_every")
+    n, own, common = F.col("q_n"), F.col("q_spread"), F.col("q_every")
+    drawn = F.sqrt((n * own * own + PRIOR * common * common) / (n + PRIOR))
     # half the common spread at least: many copies of a text are no measure of a language
-    reach = REACH * F.greatest(own, common / 2)
+    reach = REACH * F.greatest(drawn, common / 2) * F.sqrt(1 + PRIOR / n)
     return saved(centres.join(spreads, "q_tongue").crossJoin(every).select("q_tongue", "q_centre", reach.alias("q_reach")), "bands")
 
 

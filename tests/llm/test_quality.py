@@ -65,3 +65,15 @@ def test_much_junk_does_not_widen_a_band(spark):
     band = _figures(spark, sound + junk)["=es"]
     assert sum(_inside(band, e, n) for _, e, n in sound) >= 0.99 * len(sound)
     assert sum(_inside(band, e, n) for _, e, n in junk) <= 0.05 * len(junk)
+
+
+def test_rare_languages_have_bands_of_their_own(spark):
+    rnd = random.Random(9)
+    rows = [("=en", 2.0 + rnd.gauss(0, 0.02), 200) for _ in range(2000)]
+    sizes = (1, 2, 5, 50, 99, 100, 101)
+    rows += [(f"={n}", 3.5 + rnd.gauss(0, 0.02), 200) for n in sizes for _ in range(n)]
+    found = _figures(spark, rows)
+    assert all(abs(found[f"={n}"].q_centre - 3.5) < 0.08 for n in sizes)
+    assert all(_inside(found[t], e, n) for t, e, n in rows if t != "=en")
+    assert all(not _inside(found[f"={n}"], 2.0, 200) for n in sizes)
+    assert abs(found["=99"].q_reach / found["=100"].q_reach - 1) < 0.5
