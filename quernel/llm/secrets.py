@@ -1,17 +1,25 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control (native).
 
 Everything is SQL functions.  The base kinds (assign, access, hex) are patterns.  The method
-adds ``random`` spans: runs of 20 and more letters, digits and ``+/_-`` that hold a digit and a
-letter, touch no base span, and
+adds ``random`` spans: runs of 20 and more letters, digits and ``+/_-`` that touch no base
+span, and
 
-* are not unlike a random string of their inferred encoding (hex, base32, base62, base64): the
+* are not unlike a random string of their inferred encoding (digits, hex, one-case letters,
+  base32 and base36 of either case, letters, base58, base62, base64): the
   chi-squared test for a uniform alphabet (Wilson and Hilferty's normal form) and the test of
   the serial correlation of neighbours both leave them with p of ALPHA or more, and
 * are unlike writing: in words, names and numbers characters of a kind (digit, upper, lower,
   other) stand together, so that the next character is of another kind at no more than one place
-  in four.  The runs test gives the probability of as many changes as there are, or more.
-
-The p-values of the runs test go through Benjamini and Hochberg's procedure at level FDR in
+  in four.  The runs test gives the probability of as many changes as there are, or more.  Where
+a string is of one kind this says nothing: of one-case letters, no more than RARE are of those
+that writing seldom has; of digits, in numbers that are written half of the neighbours at least
+are equal or one apart.  Base32 and base36 of one case take the runs and the letters together
+(Stouffer, the letters
+weighing twice).
+
+The first two tests have randomness as their hypothesis, so that they can only veto; a small p
+there speaks against a secret and cannot be combined with one that speaks for it.  The p-values
+of the second kind go through Benjamini and Hochberg's procedure at level FDR in
 strata of encoding and length class (powers of two), so that the many short candidates do not
 set the bar of the few long ones.  It works on a histogram of -log10 p with rounded-up p-values,
 exactly summed over all documents; its rows are bounded by strata times cells.
@@ -40,6 +48,8 @@ ALPHA = 1e-3
 FDR = 0.01
 #: How often writing changes the kind of character, at most.
 CHANGES = 0.25
+#: The part of letters that are of SELDOM in writing, at most.
+SELDOM, RARE = "fjkqvwxyz", 0.15
 CELLS = 400  # of -log10 p, four to a unit
 
 
@@ -77,7 +87,7 @@ def _tail(z: str) -> str:
 def _tested(token: str) -> str:
     """Of one token: (encoding, length class, p of the runs test or null if it is no candidate)."""
     body = f"regexp_replace({token}, '=+$', '')"
-    code = "CASE WHEN t RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16 WHEN t RLIKE '^[A-Z2-7]+$' THEN 32 WHEN t RLIKE '^[A-Za-z0-9]+$' THEN 62 ELSE 64 END"
+    code = "CASE WHEN t RLIKE '^[0-9]+$' THEN 10 WHEN t RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16 WHEN t RLIKE '^([a-z]+|[A-Z]+)$' THEN 26 WHEN t RLIKE '^([A-Z2-7]+|[a-z2-7]+)$' THEN 32 WHEN t RLIKE '^([a-z0-9]+|[A-Z0-9]+)$' THEN 36 WHEN t RLIKE '^[A-Za-z]+$' THEN 52 WHEN t RLIKE '^[1-9A-HJ-NP-Za-km-z]+$' THEN 58 WHEN t RLIKE '^[A-Za-z0-9]+$' THEN 62 ELSE 64 END"
     squares = "aggregate(array_distinct(split(t, '')), 0D, (s, c) -> s + pow(length(t) - length(replace(t, c, '')), 2))"
     # chi-squared over the alphabet, as a standard normal
     chi = f"(({squares}) * k / length(t) - length(t))"
@@ -90,9 +100,15 @@ def _tested(token: str) -> str:
     runs = "length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[0-9]+', '0'), '[a-z]+', 'a'), '[A-Z]+', 'A'), '[+/_-]+', '-'))"
     # as many changes or more, with continuity
     z3 = f"(({runs}) - 1.5D - {CHANGES}D * (length(t) - 1)) / sqrt({CHANGES * (1 - CHANGES)}D * (length(t) - 1))"
+    letters = "length(regexp_replace(t, '[^A-Za-z]', ''))"
+    seldom = f"length(regexp_replace(lower(t), '[^{SELDOM}]', ''))"
+    z4 = f"({seldom} - 0.5D - {RARE}D * {letters}) / sqrt({RARE * (1 - RARE)}D * greatest({letters}, 1))"
+    beside = "aggregate(zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v) - 1), (x, y) -> IF(abs(x - y) <= 1, 1D, 0D)), 0D, (s, x) -> s + x)"
+    z5 = f"transform(array({codes}), v -> (0.5D * (size(v) - 1) - {beside} - 0.5D) / sqrt(0.25D * (size(v) - 1)))[0]"
+    unlike = f"CASE WHEN k = 10 THEN {z5} WHEN k = 26 THEN {z4} WHEN k IN (32, 36) THEN ({z3} + 2 * {z4}) / sqrt(5D) ELSE {z3} END"
     fits = f"{_tail('z[0]')} >= {ALPHA}D AND 2 * {_tail('abs(z[1])')} >= {ALPHA}D"
-    p = f"IF(t RLIKE '[0-9]' AND t RLIKE '[A-Za-z]' AND {fits}, {_tail('z[2]')}, CAST(NULL AS DOUBLE))"
-    tests = f"transform(array(array({z1}, {z2}, {z3})), z -> named_struct('code', k, 'class', CAST(floor(log2(length(t))) AS INT), 'p', {p}))[0]"
+    p = f"IF({fits}, {_tail('z[2]')}, CAST(NULL AS DOUBLE))"
+    tests = f"transform(array(array({z1}, {z2}, {unlike})), z -> named_struct('code', k, 'class', CAST(floor(log2(length(t))) AS INT), 'p', {p}))[0]"
     return f"transform(array({body}), t -> transform(array({code}), k -> {tests})[0])[0]"
 
 

@@ -40,3 +40,25 @@ def test_random_strings_are_told_from_writing(spark):
     writing = [f"{prose(20, k)} /usr/share/doc/{prose(2, k).replace(' ', '/')}/chapter-2024/index {prose(3, k).replace(' ', '_')}_version_{k}" for k in range(100)]
     got = {r.doc_id: r.n_random for r in secrets.secrets(table(spark, random_ + writing)).collect()}
     assert sum(got[k] == 1 for k in range(1, 101)) >= 90 and sum(got[k] > 0 for k in range(101, 201)) <= 2
+
+
+def test_random_strings_of_every_alphabet(spark):
+    rnd = random.Random(5)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    both = lower + lower.upper()
+    base58 = "".join(c for c in both + digits if c not in "0OIl")
+    alphabets = [lower + "234567", lower.upper() + "234567", lower + digits, lower.upper() + digits, base58, both, lower, lower.upper(), digits, both + digits]
+    texts, where = [], []
+    for k, alphabet in enumerate(alphabets):
+        for size in (64, 128):
+            for n in range(30):
+                texts.append(f"{prose(10, n)} {''.join(rnd.choice(alphabet) for _ in range(size))} {prose(10, n + 1)}")
+                where.append((k, size))
+    writing = [prose(rnd.randint(9, 25), k).replace(" ", "").replace(".", "").replace(",", "").replace("\n", "") for k in range(200)]
+    writing += [str(n) * 6 for n in range(1000, 1100)] + ["".join(str(k % 10) for k in range(n, n + 30)) for n in range(100)]
+    # long digits are base spans, as hex
+    got = {r.doc_id: r.n_random + r.n_hex for r in secrets.secrets(table(spark, texts + writing)).collect()}
+    for each in set(where):
+        found = [got[k] for k, x in enumerate(where, 1) if x == each]
+        assert sum(n == 1 for n in found) >= (0.9 if each[1] == 128 else 0.7) * len(found), (each, sum(found))
+    assert sum(got[k] > 0 for k in range(len(texts) + 1, len(texts) + len(writing) + 1)) <= 4
