@@ -22,6 +22,7 @@ rated alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -273,7 +274,7 @@ class _Shared:
 
     def __init__(self, spark, value):
         self.sent = spark.sparkContext.broadcast(value)
-        self.id = self.sent.id if hasattr(self.sent, "id") else id(self.sent)
+        self.id = uuid.uuid4().hex  # an address may come again while workers still keep what they made of the last
 
     @property
     def value(self):
