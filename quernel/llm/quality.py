@@ -1,11 +1,17 @@
 """Quality rules: character n-gram perplexity under a modified Kneser-Ney model, in bands.
 
-Spark counts the 4-grams of character classes of every whole text; from their sums the driver
-computes a modified Kneser-Ney model (three discounts an order, continuation counts below the
-top).  The model is stored as arrays of n-gram hashes in ascending order beside their log
-probabilities.  A hash packs four classes of six bits: however large the corpus, the model has
-at most 2 ** 24 + 2 ** 18 + 2 ** 12 + 2 ** 6 entries (some 200 MB; real text has some hundred
-thousand), and that is the bound of what is broadcast.
+Spark counts the 4-grams of the characters of every whole text and estimates a modified Kneser-Ney model from them by
+aggregations and joins: three discounts an order, continuation counts below the top, each order
+interpolated with the one below.  The model grows with the corpus and is never gathered whole.
+It is stored as hash arrays in ascending order beside their log probabilities, cut by the first
+bits of the hash into shards of about SHARD entries (12 bytes each in a worker).  Texts are rated
+against one shard after the other, so what is broadcast at a time has a bound; a place in the
+array is found from the hash's leading bits.  The sums of the passes are added by text.
+
+A character has 16 bits (those beyond 65,535 share private-use codes).  Capitals are one symbol
+to the model, and so are digits and signs, as is usual for perplexity filters: a text full of
+these is then too easy to predict, where a model that has seen such texts too would take it for
+prose.  All other characters of all scripts are themselves.
 
 Every language gets a lower and an upper band for the mean negative log probability a
 character, from histograms over all its documents that pass the base rules: its median, and
@@ -22,15 +28,16 @@ rated alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import dropped, looked_up, saved, table
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 4, 16
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -41,36 +48,27 @@ PRIOR = 10
 CELLS = 500
 #: Characters that are worked on at once, unless one text is longer.
 AT_ONCE = 1 << 20
+#: Entries of the model that are broadcast at a time.
+SHARD = 1 << 22
+#: Different n-grams that a counting task holds before it passes them on.
+HELD = 1 << 21
+#: Cost of an n-gram that the model does not have (it was counted on other texts): one code of all.
+UNSEEN = BITS * math.log(2)
+KEY = ["q_key_a", "q_key_b"]
 
 
 @functools.cache
-def classes():
-    """The class of each of 65,536 code points; higher ones share those of their low bits."""
+def _symbols():
+    """What the model reads for each of 65,536 code points: capitals as "A", digits as "0", signs as "#", else the character."""
+    import unicodedata
+
     import numpy as np
 
-    out = np.zeros(1 << 16, np.uint8)
+    out = np.arange(1 << 16, dtype=np.uint16)
     for c in range(1 << 16):
-        s = chr(c)
-        if "a" <= s <= "z":
-            out[c] = c - 97
-        elif s == " ":
-            out[c] = 26
-        elif s in "\n\r\x0b\x0c\t":
-            out[c] = 27
-        elif "0" <= s <= "9":
-            out[c] = 28
-        elif "A" <= s <= "Z":
-            out[c] = 29
-        elif s in ".,!?'\"-|:;":
-            out[c] = 30 + ".,!?'\"-|:;".index(s)
-        elif s in "#*$%&<>":
-            out[c] = 40
-        elif c < 0x80:
-            out[c] = 41
-        elif s.isalpha() and c < 0x250:
-            out[c] = 42 if s != s.lower() else 43 + c % 13
-        else:
-            out[c] = 56 + c % 8
+        kind = unicodedata.category(chr(c))
+        folded = "A" if kind in ("Lu", "Lt") else "0" if kind[0] == "N" else "#" if kind[0] == "S" or chr(c) in "#%&*@\\/_" else chr(c)
+        out[c] = ord(folded)
     return out
 
 
@@ -88,13 +86,13 @@ class Block:
         self.end = self.begin + size
 
     def grams(self):
-        """For each own character: its class and the three before it, packed; and the text's number."""
+        """For each own character: it and the three before it, packed, the eldest uppermost."""
         import numpy as np
 
-        k = classes()[self.codes & 0xFFFF].astype(np.int32)
+        k = _symbols()[np.where(self.codes < 65536, self.codes, 0xE000 + self.codes % 6400)].astype(np.uint64)
         g = k.copy()
         for d in range(1, ORDER):
-            g[d:] |= k[:-d] << (BITS * d)
+            g[d:] |= k[:-d] << np.uint64(BITS * d)
         own = np.ones(len(g), bool)
         for d in range(1, ORDER):
             own[self.begin - d] = False
@@ -185,149 +183,218 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int, Block]]:
         at = upto
 
 
+def _slices(batch, column: int, rows: int = 500) -> Iterator:
+    """Parts of a batch with their texts, so that few are held as Python strings at once."""
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        yield part, part.column(column).to_pylist()
+
+
 def _grams(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    keys, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    def out():
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], ["g", "c"])
+
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
-        for _, _, block in blocks(batch.column(0).to_pylist()):
-            k, c = np.unique(block.grams(), return_counts=True)
-            both = np.concatenate([keys, k])
-            keys, inverse = np.unique(both, return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-    for at in range(0, len(keys), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], ["gram", "n"])
+        for _, texts in _slices(batch, 0):
+            for _, _, block in blocks(texts):
+                k, c = np.unique(block.grams(), return_counts=True)
+                keys, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
+                counts = np.bincount(inverse, np.concatenate([counts, c]), len(keys)).astype(np.int64)
+                if len(keys) > HELD:
+                    yield from out()
+                    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    yield from out()
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """How often each packed 4-gram occurs in all texts: gram int, n long."""
-    return docs.select("text").mapInArrow(_grams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    """How often each packed 4-gram occurs in all texts: g long, c long."""
+    return docs.select("text").mapInArrow(_grams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
-def kneser_ney(grams, counts) -> list[tuple]:
-    """For orders 1 to 4: (sorted hashes, log probabilities, log weights of the order below).
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """g, p: the probability of each 4-gram's last character after the three before it (saved).
 
-    ``grams`` ascend.  The weights belong to contexts: those of order m are what order m + 1
-    gives to it after a context of m classes.
+    ``counted`` (saved) has g and c.  Below the top a count is the number of different
+    characters that come before.  Joins are by context and by the gram of the order below: no
+    key has more rows than there are characters.
     """
-    import numpy as np
-
-    mask = lambda m: (1 << (BITS * m)) - 1
-    tables = {ORDER: (grams.astype(np.int64), counts.astype(np.float64))}
-    for m in range(ORDER - 1, 0, -1):  # continuation counts: how many classes come before
-        k, c = np.unique(tables[m + 1][0] & mask(m), return_counts=True)
-        tables[m] = k, c.astype(np.float64)
-    out, lower = [], None
+    orders = {ORDER: counted}
+    for m in range(ORDER - 1, 0, -1):
+        lower = orders[m + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << (BITS * m)) - 1)).alias("g"))
+        orders[m] = saved(lower.agg(F.count(F.lit(1)).alias("c")), f"order{m}")
+    below = None
     for m in range(1, ORDER + 1):
-        k, c = tables[m]
-        n = [max(1, int((c == r).sum())) for r in (1, 2, 3, 4)]
+        of = orders[m].agg(*[F.sum(F.when(F.col("c") == r, 1).otherwise(0)) for r in (1, 2, 3, 4)]).first()
+        n = [max(1, x or 0) for x in of]
         y = n[0] / (n[0] + 2 * n[1])
         cut = [min(max(r - (r + 1) * y * n[r] / n[r - 1], 0.05), r - 0.05) for r in (1, 2, 3)]
-        d = np.where(c == 1, cut[0], np.where(c == 2, cut[1], cut[2]))
-        context = k >> BITS
-        ctx, first = np.unique(context, return_index=True)
-        total, freed = np.add.reduceat(c, first), np.add.reduceat(d, first)
-        place = np.searchsorted(ctx, context)
-        if m == 1:
-            below = np.full(len(k), 1.0 / (1 << BITS))
+        less = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
+        rows = orders[m].select("g", "c", less.alias("less"), F.shiftrightunsigned("g", BITS).alias("context"))
+        sums = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("less").alias("freed"))
+        rows = rows.join(sums, "context")
+        if below is None:
+            rows = rows.withColumn("q", F.lit(1.0 / (1 << BITS)))
         else:
-            below = np.exp(lower[1][np.searchsorted(lower[0], k & mask(m - 1))])
-        p = (c - d) / total[place] + (freed / total)[place] * below
-        lower = k, np.log(p)
-        out.append((k.astype(np.int32), np.log(p).astype(np.float32), ctx.astype(np.int32), np.log(freed / total).astype(np.float32)))
-    return out
+            rows = rows.withColumn("suffix", F.col("g").bitwiseAND(F.lit((1 << (BITS * (m - 1))) - 1)))
+            rows = rows.join(below.select(F.col("g").alias("suffix"), F.col("p").alias("q")), "suffix")
+        now = saved(rows.select("g", ((F.col("c") - F.col("less")) / F.col("total") + F.col("freed") / F.col("total") * F.col("q")).alias("p")), "model")
+        dropped(*([below] if below is not None else []), *([orders[m]] if m < ORDER else []))
+        below = now
+    return below
 
 
-def dense(model: list[tuple]):
-    """log p of every possible packed 4-gram, from the sorted arrays: backing off where one is unseen."""
+def _hash(g):
+    """What Spark's xxhash64 gives for a long: one to one, so no two n-grams share a hash."""
     import numpy as np
 
-    table = np.full(1, -BITS * np.log(2.0), np.float32)
-    for m, (keys, logp, ctx, weight) in enumerate(model, 1):
-        back = np.zeros(1 << (BITS * (m - 1)), np.float32)
-        back[ctx] = weight
-        lower = table
-        # the lower order drops the eldest class, so its table repeats for each of these
-        table = np.empty((1 << BITS, len(lower) if m > 1 else 1, 1 << BITS if m == 1 else 1), np.float32)
-        if m == 1:
-            table = np.full(1 << BITS, lower[0] + back[0], np.float32)
-        else:
-            table = (np.broadcast_to(lower, (1 << BITS, len(lower))).reshape(-1, 1 << BITS) + back[:, None]).reshape(-1)
-        table[keys] = logp
-    return table
+    u = np.uint64
+    a, b, c = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9)
+    turn = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+    h = turn((turn(g * b, 31) * a) ^ u(42 + 0x27D4EB2F165667C5 + 8), 27) * a + u(0x85EBCA77C2B2AE63)
+    h = (h ^ (h >> u(33))) * b
+    h = (h ^ (h >> u(29))) * c
+    return h ^ (h >> u(32))
+
 
+class Arrays:
+    """Hashes in ascending order beside log probabilities, and where each leading part starts."""
+
+    def __init__(self, hashes, logp):
+        import numpy as np
+
+        order = np.argsort(hashes)
+        self.hashes, self.logp = hashes[order], logp[order]
+        self.shift = np.uint64(64 - max(1, math.ceil(math.log2(len(hashes) + 1))))
+        self.start = np.searchsorted(self.hashes >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, q):
+        """For each hash of ``q`` the place in the arrays, or -1."""
+        import numpy as np
 
-_expanded: dict = {}
+        part = (q >> self.shift).astype(np.int64)
+        at, end = self.start[part], self.start[part + 1]
+        out = np.full(len(q), -1, np.int32)
+        live = np.flatnonzero(at < end)
+        at, end, q = at[live], end[live], q[live]
+        while len(live):
+            same = self.hashes[at] == q
+            out[live[same]] = at[same]
+            on = np.flatnonzero(~same & (at + 1 < end))
+            live, at, end, q = live[on], at[on] + 1, end[on], q[on]
+        return out
 
 
-def _expand(model):
-    """The dense table of a broadcast model; a worker process holds one."""
-    if model.id not in _expanded:
-        _expanded.clear()
-        _expanded[model.id] = dense(model.value)
-    return _expanded[model.id]
+_held: dict = {}
 
 
 class _Shared:
-    """A broadcast value and a name under which a worker keeps what it makes of it."""
+    """A broadcast shard of the model; a worker holds the arrays of the last one, by a name of its own."""
 
-    def __init__(self, spark, value):
-        self.sent = spark.sparkContext.broadcast(value)
+    def __init__(self, spark, hashes, logp, number: int, bits: int):
+        self.sent = spark.sparkContext.broadcast((hashes, logp))
         self.id = uuid.uuid4().hex  # an address may come again while workers still keep what they made of the last
+        self.number, self.bits = number, bits
 
-    @property
-    def value(self):
-        return self.sent.value
+    def arrays(self) -> Arrays:
+        if self.id not in _held:
+            _held.clear()
+            _held[self.id] = Arrays(*self.sent.value)
+        return _held[self.id]
+
+    def sums(self, block: Block):
+        """Of each text of a block the sum of log p over its n-grams in this shard."""
+        import numpy as np
+
+        own = self.arrays()
+        h = _hash(block.grams())
+        found = own.find(h)
+        value = np.where(found >= 0, own.logp[found], np.float32(0)) if len(own.logp) else np.zeros(len(h), np.float32)
+        mine = (h >> np.uint64(64 - self.bits)) == self.number if self.bits else np.ones(len(h), bool)
+        value[(found < 0) & mine] = -UNSEEN
+        total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
+        upto = np.cumsum(block.size)
+        return total[upto] - total[upto - block.size]
+
+
+def train(docs: DataFrame) -> DataFrame:
+    """h, logp of all 4-grams of all texts (saved)."""
+    counted = saved(count_grams(docs), "grams")
+    p = kneser_ney(counted)
+    model = saved(p.select(F.xxhash64("g").alias("h"), F.log("p").cast("float").alias("logp")), "hashed")
+    dropped(counted, p)
+    return model
+
+
+def _shards(model: DataFrame, size: int) -> Iterator[_Shared]:
+    import numpy as np
+
+    bits = max(0, math.ceil(math.log2(max(1, model.count()) / size)))
+    for k in range(1 << bits):
+        part = model.where(F.shiftrightunsigned("h", 64 - bits) == k) if bits else model
+        rows = part.toArrow()
+        yield _Shared(model.sparkSession, rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy(), k, bits)
 
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _rate(batches: Iterator, model: _Shared) -> Iterator:
-    """``q_row`` as it came with its base figures and the mean of -log p over its characters."""
+def _rate(batches: Iterator, shard: _Shared, base: bool) -> Iterator:
+    """The columns before the text, base figures and characters if wanted, and the sum of log p."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    logp = _expand(model)
     for batch in batches:
-        row = batch.column(0)
-        texts = (batch.column(1) if batch.num_columns > 1 else pc.struct_field(row, "text")).to_pylist()
-        found: dict[str, list] = {x: [] for x in (*FIGURES, "entropy")}
-        for _, _, block in blocks(texts):
-            for k, v in block.base().items():
-                found[k].append(v)
-            sums = np.concatenate([[0.0], np.cumsum(logp[block.grams()], dtype=np.float64)])
-            upto = np.cumsum(block.size)
-            found["entropy"].append(-(sums[upto] - sums[upto - block.size]) / np.maximum(block.size, 1))
-        cols = [pa.array(np.concatenate(found[x]).astype(np.int64 if x != "entropy" else np.float64)) for x in found]
-        yield pa.RecordBatch.from_arrays([row, *cols], ["q_row", *(f"q_{x}" for x in found)])
-
-
-def train(docs: DataFrame) -> _Shared:
-    """The model of all texts of ``docs``, broadcast."""
-    import numpy as np
+        last = batch.num_columns - 1
+        for part, texts in _slices(batch, last):
+            found: dict[str, list] = {x: [] for x in ((*FIGURES, "chars") if base else ())} | {"sum": []}
+            for _, _, block in blocks(texts):
+                if base:
+                    for k, v in block.base().items():
+                        found[k].append(v)
+                    found["chars"].append(block.size)
+                found["sum"].append(shard.sums(block))
+            cols = [pa.array(np.concatenate(v).astype(np.int64 if x != "sum" else np.float64)) for x, v in found.items()]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(last)), *cols], [*batch.schema.names[:last], *(f"q_{x}" for x in found)])
+
 
-    counted = saved(count_grams(docs), "grams").orderBy("gram").toArrow()
-    grams, counts = counted.column(0).to_numpy(), counted.column(1).to_numpy()
-    if not len(grams):
-        grams, counts = np.zeros(1, np.int32), np.ones(1, np.int64)
-    return _Shared(docs.sparkSession, kneser_ney(grams, counts))
+def _key() -> list[Column]:
+    """128 bits that name a text."""
+    own = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(own).alias(KEY[0]), F.xxhash64(F.lit(7), own).alias(KEY[1])]
 
 
-def rated(docs: DataFrame, model: _Shared, carry: list[str]) -> DataFrame:
-    """``q_row`` (a struct of the ``carry`` columns), base figures, ``q_entropy``, ``q_base_failed``.
+def rated(docs: DataFrame, model: DataFrame, carry: list[str], shard: int = SHARD) -> DataFrame:
+    """``q_row`` (a struct of the ``carry`` columns), the text's key, base figures, ``q_entropy``, ``q_base_failed`` (saved).
 
     Carried columns stay inside the struct, so that their names clash with nothing.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("q_row")
-    rows = docs.select(row) if "text" in carry else docs.select(row, "text")
-    kind = rows.schema["q_row"].dataType.simpleString()
-    schema = ", ".join([f"q_row {kind}"] + [f"q_{x} long" for x in FIGURES] + ["q_entropy double"])
-    rows = rows.mapInArrow(lambda it: _rate(it, model), schema)
+    first, more = None, []
+    for own in _shards(model, shard):
+        if first is None:
+            rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("q_row"), *_key(), "text")
+            kind = rows.schema["q_row"].dataType.simpleString()
+            schema = ", ".join([f"q_row {kind}", *[f"{k} long" for k in KEY], *[f"q_{x} long" for x in (*FIGURES, "chars")], "q_sum double"])
+            first = saved(rows.mapInArrow(lambda it, own=own: _rate(it, own, True), schema), "rated")
+        else:
+            rows = docs.select(*_key(), "text").mapInArrow(lambda it, own=own: _rate(it, own, False), ", ".join([*[f"{k} long" for k in KEY], "q_sum double"]))
+            more.append(saved(rows.groupBy(*KEY).agg(F.max("q_sum").alias("part"), F.count(F.lit(1)).alias("w")), "part"))
+        own.sent.unpersist()
+    rows = first
+    if more:
+        parts = more[0]
+        for x in more[1:]:
+            parts = parts.union(x)
+        parts = saved(parts.groupBy(*KEY).agg(F.sum("part").alias("part"), F.max("w").alias("w")), "parts")
+        rows = looked_up(first, parts, KEY, "w").withColumn("q_sum", F.col("q_sum") + F.col("part")).drop("part", "w")
+        rows = saved(rows, "rated")
+        dropped(first, parts, *more)
     few = (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > MAX_REPEATED * F.col("q_n_words"))
-    return rows.withColumn("q_base_failed", few)
+    return rows.withColumn("q_entropy", -F.col("q_sum") / F.greatest("q_chars", F.lit(1))).withColumn("q_base_failed", few)
 
 
 def _medians(values: DataFrame) -> DataFrame:
@@ -365,30 +432,39 @@ def _tongue():
     return F.coalesce(F.concat(F.lit("="), F.col("q_row.lang")), F.lit("?"))
 
 
-def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``q_row``, figures, ``q_base_failed`` and the verdict ``q_kept`` of every row.
+def _judged(docs: DataFrame, carry: list[str], shard: int = SHARD) -> DataFrame:
+    """``q_row``, key, figures, ``q_base_failed`` and the verdict ``q_kept`` of every row.
 
-    Three passes read the texts and none shuffles them: counts, ratings for the bands, and
-    the final rating.
+    Two passes read the texts (more if the model has several shards) and none shuffles them.
     """
     model = train(docs)
-    sound = rated(docs, model, ["lang"]).where("NOT q_base_failed")
-    found = bands(sound.select(_tongue().alias("q_tongue"), "q_entropy", "q_n_words"))
-    rows = rated(docs, model, carry).withColumn("q_tongue", _tongue()).join(found, "q_tongue", "left")
+    rows = rated(docs, model, carry, shard).withColumn("q_tongue", _tongue())
+    dropped(model)
+    found = bands(rows.where("NOT q_base_failed").select("q_tongue", "q_entropy", "q_n_words"))
+    rows = rows.join(F.broadcast(found), "q_tongue", "left")  # one row a language
     # a language without a band has no sound document
     return rows.withColumn("q_kept", ~F.col("q_base_failed") & F.coalesce(_off("q_centre") <= F.col("q_reach"), F.lit(False)))
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per row: doc_id, lang, base figures, base_failed, kept, entropy."""
-    out = _judged(docs, ["doc_id", "lang"])
+    out = _judged(docs, ["doc_id", "lang"], shard)
     names = [*FIGURES, "base_failed", "kept", "entropy"]
     return out.select("q_row.doc_id", "q_row.lang", *[F.col(f"q_{x}").alias(x) for x in names])
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, as they were."""
-    return _judged(docs, docs.columns).where("q_kept").select("q_row.*")
+    """The rows of ``docs`` that are kept, as they were.
+
+    A verdict depends on text and language alone, so the rejected pairs of both are looked up
+    by hash, and rows are read once more without leaving the JVM.
+    """
+    out = _judged(docs, ["lang"]).where("NOT q_kept").groupBy("q_tongue", *KEY).agg(F.count(F.lit(1)).alias("q_many"))
+    # the language joins the hash, so that the key is of numbers only
+    gone = saved(out.select(F.xxhash64("q_tongue").alias("q_lang"), *KEY, "q_many"), "rejected")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")
+    rows = docs.select(row, *_key()).withColumn("q_lang", F.xxhash64(_tongue()))
+    return looked_up(rows, gone, ["q_lang", *KEY], "q_many").where("q_many IS NULL").select("q_row.*")
 
 
 def query(spark, sf_dir):

@@ -1,6 +1,8 @@
 """Quality rules: base figures against brute force, the model's sums, and verdicts on planted texts."""
 
+import math
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -31,13 +33,103 @@ def test_base_figures(spark):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
 
 
-def test_model_is_a_distribution():
-    rnd = np.random.default_rng(1)
-    grams, counts = np.unique(rnd.integers(0, 8, (5000, 4)) @ [1 << 18, 1 << 12, 1 << 6, 1], return_counts=True)
-    p = np.exp(quality.dense(quality.kneser_ney(grams.astype(np.int32), counts)).astype(np.float64)).reshape(-1, 64)
-    assert np.allclose(p.sum(axis=1), 1, atol=2e-3)
-    seen = np.log(p).reshape(-1)
-    assert seen[grams].mean() > np.log(p).mean()
+def folded(text):
+    """Capitals, digits and signs are one symbol each; three line feeds lead."""
+    out = []
+    for c in text:
+        c = c if ord(c) < 65536 else chr(0xE000 + ord(c) % 6400)  # private use
+        kind = unicodedata.category(c)
+        out.append("A" if kind in ("Lu", "Lt") else "0" if kind[0] == "N" else "#" if kind[0] == "S" or c in "#%&*@\\/_" else c)
+    return "\n\n\n" + "".join(out)
+
+
+def brute_model(texts):
+    """The probability of the last character of a 4-gram, by the definition of modified Kneser-Ney."""
+    tables = {4: Counter(f[k : k + 4] for f in map(folded, texts) for k in range(len(f) - 3))}
+    for m in (3, 2, 1):
+        tables[m] = Counter(g[1:] for g in tables[m + 1])
+
+    def discounts(m):
+        n = [max(1, sum(c == r for c in tables[m].values())) for r in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(r - (r + 1) * y * n[r] / n[r - 1], 0.05), r - 0.05) for r in (1, 2, 3)]
+
+    cut = {m: discounts(m) for m in tables}
+    followers = {m: {} for m in tables}
+    for m, t in tables.items():
+        for g, c in t.items():
+            followers[m].setdefault(g[:-1], []).append(c)
+    less = lambda m, c: cut[m][min(c, 3) - 1]
+
+    def p(g):
+        m = len(g)
+        below = p(g[1:]) if m > 1 else 1 / 65536
+        after = followers[m].get(g[:-1])
+        if not after:
+            return below
+        c, total = tables[m].get(g, 0), sum(after)
+        return (c - less(m, c) if c else 0) / total + sum(less(m, x) for x in after) / total * below
+
+    return p, tables
+
+
+def brute_entropy(p, text):
+    f = folded(text)
+    return -sum(math.log(p(f[k : k + 4])) for k in range(len(f) - 3)) / max(1, len(text))
+
+
+def _median(values):
+    cells = sorted(math.floor(v * quality.CELLS) for v in values)
+    return (cells[(len(cells) + 1) // 2 - 1] + 0.5) / quality.CELLS
+
+
+def brute_kept(rows):
+    """Verdicts of (language, entropy, words) by the definition of the bands."""
+    centre = {t: _median([e for x, e, _ in rows if x == t]) for t, _, _ in rows}
+    off = [(t, abs(e - centre[t]) * n**0.5) for t, e, n in rows]
+    common, reach = 1.4826 * _median([o for _, o in off]), {}
+    for t in centre:
+        own = [o for x, o in off if x == t]
+        s, n = 1.4826 * _median(own), len(own)
+        drawn = ((n * s * s + quality.PRIOR * common * common) / (n + quality.PRIOR)) ** 0.5
+        reach[t] = quality.REACH * max(drawn, common / 2) * (1 + quality.PRIOR / n) ** 0.5
+    return [o <= reach[t] for t, o in off]
+
+
+def test_entropies_and_verdicts_equal_brute_force(spark):
+    rnd = random.Random(5)
+    texts = [prose(rnd.randint(60, 120), k) for k in range(24)] + [prose(90, 90).upper(), " | ".join(prose(80, 91).split()), "жук ёж 漢字 😀 Ǆ " * 5 + prose(60, 92), "", None]
+    p, tables = brute_model([t or "" for t in texts])
+    for m in (1, 2, 3):
+        for g in list(tables[m])[:40]:
+            assert abs(sum(p(g + c) for c in tables[1]) + p(g + "\x01") * (65536 - len(tables[1])) - 1) < 1e-9
+    got = {r.doc_id: r for r in quality.quality(table(spark, texts)).collect()}
+    for k, t in enumerate(texts, 1):
+        assert abs(got[k].entropy - brute_entropy(p, t or "")) < 1e-5
+    sound = [r for r in got.values() if not r.base_failed]
+    want = brute_kept([(r.lang, r.entropy, r.n_words) for r in sound])
+    assert [r.kept for r in sound] == want and not all(want) and sum(want) > 20
+    cut = {r.doc_id: r for r in quality.quality(table(spark, texts), shard=100).collect()}  # many shards
+    assert all(abs(cut[k].entropy - got[k].entropy) < 1e-9 and cut[k].kept == got[k].kept for k in got)
+
+
+def test_each_table_has_its_own_model(spark):
+    one, two = [prose(100, k) for k in range(6)], ["abcd " * 100 + prose(20, k) for k in range(6)]
+    for texts in (one, two, one, two, one, two):
+        p, _ = brute_model(texts)
+        for r in quality.quality(table(spark, texts)).collect():
+            assert abs(r.entropy - brute_entropy(p, texts[r.doc_id - 1])) < 1e-5
+
+
+def test_hash_is_that_of_the_engine(spark):
+    values = np.array([0, 1, -1, 1 << 40, -(1 << 63)], np.int64)
+    want = [r.h for r in spark.createDataFrame([(int(v),) for v in values], "g long").selectExpr("xxhash64(g) AS h").collect()]
+    assert quality._hash(values.view(np.uint64)).view(np.int64).tolist() == want
+
+
+def test_the_model_grows_with_the_texts(spark):
+    sizes = [quality.train(table(spark, [prose(200, k) for k in range(n)] + [chr(0x4E00 + k) * 3 for k in range(n)])).count() for n in (10, 40)]
+    assert sizes[1] > 1.5 * sizes[0]
 
 
 def test_noise_goes_and_prose_stays(spark):
