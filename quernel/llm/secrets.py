@@ -37,7 +37,7 @@ from .common import saved, table
 
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"  # runs of 32 and more: those that are dropped need not be found
 RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 #: Kind: pattern, group whose length counts, least length.
 BASE = {"assign": (ASSIGN, 1, 8), "access": (ACCESS, 0, 16), "hex": (HEX, 0, 32)}
@@ -54,11 +54,15 @@ CELLS = 400  # of -log10 p, four to a unit
 
 
 def _sums(array: str) -> str:
-    """Running sums of a long array, in two levels so that long arrays stay cheap."""
+    """Running sums of a long array: each adds up to 64 numbers of every level of a tree of block sums."""
     total = lambda x: f"aggregate({x}, 0L, (s, v) -> s + v)"
-    blocks = f"transform(sequence(0, (size(a) - 1) div 256), j -> {total('slice(a, j * 256 + 1, 256)')})"
-    one = f"{total('slice(b, 1, i div 256)')} + {total('slice(a, (i div 256) * 256 + 1, i % 256 + 1)')}"
-    inner = f"transform(array({blocks}), b -> transform(sequence(0, size(a) - 1), i -> {one}))[0]"
+    blocks = lambda x: f"transform(IF(size({x}) = 0, array(0), sequence(0, (size({x}) - 1) div 64)), j -> {total(f'slice({x}, j * 64 + 1, 64)')})"
+    part = lambda x, at: f"{total(f'slice({x}, ({at}) div 64 * 64 + 1, ({at}) % 64)')}"
+    # the first i + 1 numbers: what is left over in each level, and all of the last one that is complete
+    one = f"{part('a', 'i + 1')} + {part('b', '(i + 1) div 64')} + {part('c', '(i + 1) div 4096')} + {total('slice(d, 1, (i + 1) div 262144)')}"
+    inner = f"transform(sequence(0, size(a) - 1), i -> {one})"
+    for name, under in (("d", "c"), ("c", "b"), ("b", "a")):
+        inner = f"transform(array({blocks(under)}), {name} -> {inner})[0]"
     return f"transform(array({array}), a -> IF(size(a) = 0, array(0L), {inner}))[0]"
 
 

@@ -1,7 +1,9 @@
 """Secrets: base spans against the patterns themselves; random strings against writing."""
 
 import hashlib
+import math
 import random
+import time
 import re
 
 from quernel.llm import secrets
@@ -62,3 +64,31 @@ def test_random_strings_of_every_alphabet(spark):
         found = [got[k] for k, x in enumerate(where, 1) if x == each]
         assert sum(n == 1 for n in found) >= (0.9 if each[1] == 128 else 0.7) * len(found), (each, sum(found))
     assert sum(got[k] > 0 for k in range(len(texts) + 1, len(texts) + len(writing) + 1)) <= 4
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 63, 64, 65, 4095, 4096, 4097, 9000, 270_000):
+        got = spark.range(1).selectExpr(f"{secrets._sums(f'transform(sequence(1, {n or 1}), x -> CAST(x % 7 AS BIGINT))' if n else 'CAST(array() AS array<bigint>)')} AS s").first().s
+        want, total = [], 0
+        for x in range(1, n + 1):
+            total += x % 7
+            want.append(total)
+        assert got == (want or [0])
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    key = "0123456789abcdef" * 2
+    took = []
+    for n in (1_000_000, 8_000_000):
+        texts = ["a " * (n // 4) + key + " " + "token=x " * (n // 16)]
+        began = time.perf_counter()
+        got = secrets.secrets(table(spark, texts)).first()
+        took.append(time.perf_counter() - began)
+        assert got.n_hex == 1 and got.spans.startswith(f"hex:{n // 4 * 2}:{n // 4 * 2 + 32}")
+    assert took[1] < 60
+
+
+def test_tail_of_the_normal_distribution(spark):
+    zs = [-5.0, -1.0, 0.0, 0.5, 1.0, 2.0, 3.09, 4.5, 6.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").selectExpr(f"{secrets._tail('z')} AS p").collect()
+    assert all(abs(r.p - math.erfc(z / 2**0.5) / 2) < 1e-6 for r, z in zip(got, zs, strict=True))
