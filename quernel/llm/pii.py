@@ -6,12 +6,15 @@ telephone numbers without a plus.  It is trained in numpy, by back-propagation t
 and the CRF's forward-backward recursion, from EXAMPLES labelled windows that a seeded generator
 writes; so it is the same for every corpus.
 
-Where it looks: every span of the four kinds must hold a digit, an "@" or a bracketed "at", so
-the regions around such places are all that needs scoring, in texts of any length.  Windows of
-WINDOW characters, overlapping by half, cover a region; where they overlap their scores are
-averaged, each weighted by the distance from the window's edge, and one Viterbi pass decodes
-the whole region, so no span breaks at a window's end.  A span is added if it touches no base
-span, its least marginal probability is SURE or more, and its digits suit its kind.
+Where it looks: ``fits`` accepts no span without a digit, an "@", an "at" in brackets or before a
+host, or a "dot", so places without these are read and found empty by a pattern, and only the
+rest of a text is scored.  Windows of WINDOW characters, overlapping by half, cover a region
+around such places; where they overlap their scores are averaged, each weighted by the distance
+from the window's edge, and one Viterbi pass decodes the whole region, so no span breaks at a
+window's end.  A region whose decoding has a span close to its edge is widened to double its
+margin and decoded again, until no span touches an edge but that of the text: spans of any
+length come out whole.  A span is added if it touches no base span, its least marginal
+probability is SURE or more, and its characters suit its kind.
 
 Null texts are empty; repeated rows are scanned alike; an empty table gives an empty result.
 """
@@ -29,17 +32,28 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, and a first and further character of each kind
-WINDOW, MARGIN = 64, 24
+WINDOW, MARGIN = 128, 24
 HIDDEN = 24
-EXAMPLES, BATCH, SEED = 48_000, 32, 3
-SURE = 0.9
+EXAMPLES, BATCH, SEED = 32_000, 32, 3
+SURE = 0.5
+#: The part of training windows that the text does not fill.
+PADDED = 0.25
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Longer regions are decoded in pieces of LONG characters that overlap by LAP on both sides.
+LONG, LAP = 1 << 15, 1 << 10
+#: Characters that are decoded at once, unless one piece is longer.
+AT_ONCE = 1 << 18
+#: Characters at a region's edge that no span may come to.
+CLEAR = 8
+#: How "at" and "dot" are written out in addresses.
+_AT = r"[\[({<]\s?at\s?[\])}>]|(?<![^\W_])at\s+[\w-]+(?:\.\w|\s+dot(?![^\W_])|\s?[\[({<]\s?dot)"
+_WRITTEN = re.compile("@|" + _AT, re.I)
 #: What every span holds.
-TRIGGER = re.compile(r"[0-9@]|[\[(][aA][tT][\])]")
+TRIGGER = re.compile(r"[0-9@]|" + _AT + r"|(?<![^\W_])dot(?![^\W_])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -255,9 +269,16 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]
     d = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
 
     def email():
-        name = plain() + rnd.choice(["", ".", "_", "-"]) + rnd.choice([plain(), d(2), ""])
-        name, host, end = name.strip("._-"), plain() + rnd.choice(["", d(1), "." + plain()]), rnd.choice(["com", "org", "net", "de", "example.com", "co.uk"])
-        at, dot = rnd.choice([("@", ".")] * 3 + [(" (at) ", " dot "), ("(at)", "."), ("[at]", "."), (" [at] ", " [dot] "), (" @ ", "."), (" (at) ", ".")])
+        long_ = rnd.random() < 0.2
+        name = plain(1, 9 if long_ else 3) + rnd.choice(["", ".", "_", "-"]) + rnd.choice([plain(1, 8 if long_ else 3), d(2), ""])
+        name, host, end = name.strip("._-"), plain(1, 8 if long_ else 3) + rnd.choice(["", d(1), "." + plain(), "-" + plain()]), rnd.choice(["com", "org", "net", "de", "io", "edu", "example.com", "co.uk"])
+        if rnd.random() < 0.15:
+            name = name.capitalize()
+        left, right = rnd.choice(["()", "[]", "{}", "<>"])
+        forms = [("@", ".")] * 4 + [(f" {left}at{right} ", " dot "), (f"{left}at{right}", "."), (f" {left}at{right} ", f" {left}dot{right} "), (" @ ", "."), (f" {left}at{right} ", "."), (f"{left}at{right}", f"{left}dot{right}"), (" at ", " dot "), (" at ", " dot ")]
+        at, dot = rnd.choice(forms)
+        if rnd.random() < 0.3:
+            at, dot = at.upper(), dot.upper()
         return name + at + host.replace(".", dot) + dot + end.replace(".", dot)
 
     def ip():
@@ -278,7 +299,7 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]
         return rnd.choice([
             d(rnd.randint(1, 6)), f"{rnd.randint(1900, 2099)}", f"{d(4)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}", f"{rnd.randint(0, 23):02}:{d(2)}", f"${d(2)}.{d(2)}",
             f"{d(1)}.{d(1)}", f"v{d(1)}.{d(2)}.{d(1)}", f"{d(1)},{d(3)},{d(3)}", f"{d(2)}%", f"#{d(5)}", f"id={d(8)}", "@" + plain(), f"{rnd.randint(1, 28)}.{rnd.randint(1, 12)}.{rnd.randint(1900, 2099)}",
-            f"version {d(1)}.0.", f"{d(3)} x {d(3)}", f"{d(2)}-{d(2)}", f"{d(9)}", f"{d(11)}", f"{d(20)}", f"({rnd.randint(1900, 2099)})", f"{plain()}{d(3)}", f"{d(4)}{plain()}{d(5)}{plain()}{d(3)}", f"{d(3)}.{d(3)}.{d(3)}", f"AK{d(2)}Q{d(3)}XZ{d(2)}",
+            f"{word()} at {word()}", "at the " + word(), "(at " + word() + ")", "dot " + word(), word() + " at " + d(2) + ":" + d(2), "look at " + word() + ". " + word(), f"version {d(1)}.0.", f"{d(3)} x {d(3)}", f"{d(2)}-{d(2)}", f"{d(9)}", f"{d(11)}", f"{d(20)}", f"({rnd.randint(1900, 2099)})", f"{plain()}{d(3)}", f"{d(4)}{plain()}{d(5)}{plain()}{d(3)}", f"{d(3)}.{d(3)}.{d(3)}", f"AK{d(2)}Q{d(3)}XZ{d(2)}",
             f"{plain()}={d(2)}{plain(1, 1)}{d(4)}{plain(1, 1)}{d(5)}", f"({plain()}) {plain()}", f"p. {d(2)}-{d(3)}", f"§ {d(2)}.{d(1)}", f"ISBN {d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(1)}",
         ])
 
@@ -318,10 +339,14 @@ def labelled(count: int, seed: int):
         for a, b in ((s, e) for _, s, e in spans):  # whole spans only
             if a < at < b:
                 at = min(b, len(text) - WINDOW)
-        own = tags[at : at + WINDOW].copy()
-        if own[0] and own[0] % 2 == 0:
+        if rnd.random() < PADDED:  # the end of a text, or a short one
+            at = len(text) - int(rnd.integers(8, WINDOW))
+            at = min([b for _, a, b in spans if a < at < b], default=at)
+        own, x = tags[at : at + WINDOW].copy(), encode(text)[at : at + WINDOW]
+        if len(own) and own[0] and own[0] % 2 == 0:
             own[0] -= 1
-        xs[n], ys[n] = encode(text)[at : at + WINDOW], own
+        xs[n], ys[n] = _classes()[1] - 1, 0
+        xs[n, : len(x)], ys[n, : len(x)] = x, own
     return xs, ys
 
 
@@ -384,13 +409,13 @@ def fit(count: int, hidden: int, seed: int, trace: list | None = None) -> dict:
 # --- decoding
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Where spans may lie: MARGIN characters around each trigger, joined where they meet."""
+def regions(text: str, margin: int = MARGIN) -> list[tuple[int, int]]:
+    """Where spans may lie: ``margin`` characters around each trigger, joined where they meet."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        a, b = max(0, m.start() - margin), min(len(text), m.end() + margin)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [tuple(r) for r in out]
@@ -421,49 +446,88 @@ def _scores(p: dict, pieces: list, at_once: int = 2048):
 
 def decode(p: dict, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans (kind, start, end) that the model finds in each text."""
+    out: list[list] = [[] for _ in texts]
+    todo, margin = [(n, a, b) for n, t in enumerate(texts) for a, b in regions(t)], MARGIN
+    while todo:
+        margin *= 2
+        wider: dict[int, list[list[int]]] = {}
+        for (n, a, b), spans, tight in _decoded(p, texts, todo):
+            if tight:
+                a, b = max(0, a - margin), min(len(texts[n]), b + margin)
+                wider.setdefault(n, []).append([a, b])
+            else:
+                out[n] += spans
+        todo = []
+        for n, own in wider.items():
+            own.sort()
+            joined = [own[0]]
+            for a, b in own[1:]:
+                if a <= joined[-1][1]:
+                    joined[-1][1] = max(b, joined[-1][1])
+                else:
+                    joined.append([a, b])
+            todo += [(n, a, b) for a, b in joined]
+    return [_apart(x) for x in out]
+
+
+def _apart(spans: list) -> list:
+    """Without what overlaps an earlier span: a widened region may have grown over a neighbour."""
+    out, done = [], 0
+    for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if a >= done:
+            out.append((kind, a, b))
+            done = b
+    return out
+
+
+def _cuts(a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
+    """A region in pieces of bounded size: (start, end) of each, and of the part whose spans count."""
+    for at in range(a, b, LONG):
+        yield max(a, at - LAP), min(b, at + LONG + LAP), at, min(b, at + LONG)
+
+
+def _decoded(p: dict, texts: list[str], where: list[tuple[int, int, int]]) -> Iterator:
+    """Each region with its sure spans, and whether any span, sure or not, comes close to an edge inside the text."""
     import numpy as np
 
-    where, pieces = [], []
-    for n, t in enumerate(texts):
-        found = regions(t)
-        if found:
-            for a, b in found:
-                where.append((n, a))
-                pieces.append(encode(t[a:b]))
-    out: list[list] = [[] for _ in texts]
-    order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+    cuts = [(k, *cut) for k, (_, a, b) in enumerate(where) for cut in _cuts(a, b)]
+    found: list[list] = [[] for _ in where]
+    tight = [False] * len(where)
+    cuts.sort(key=lambda c: c[2] - c[1])
     at = 0
-    while at < len(order):
-        upto = at
-        longest = len(pieces[order[at]])
-        while upto < len(order) and upto - at < 512 and len(pieces[order[upto]]) <= max(longest + 16, longest * 5 // 4):
+    while at < len(cuts):
+        upto, longest = at, cuts[at][2] - cuts[at][1]
+        most = max(longest + 16, longest * 5 // 4)
+        while upto < len(cuts) and (upto == at or (upto - at) * most < AT_ONCE) and cuts[upto][2] - cuts[upto][1] <= most:
             upto += 1
-        own = order[at:upto]
-        scores = _scores(p, [pieces[k] for k in own])
+        own = cuts[at:upto]
+        scores = _scores(p, [encode(texts[where[k][0]][a:b]) for k, a, b, *_ in own])
         size = np.array([len(s) for s in scores])
         e = np.zeros((size.max(), len(own), TAGS), np.float32)
         for n, s in enumerate(scores):
             e[: len(s), n] = s
         tags, gamma = viterbi(p, e, size), marginals(p, e, size)[0]
         sure = np.take_along_axis(gamma, tags[:, :, None].astype(np.int64), 2)[:, :, 0]
-        for n, k in enumerate(own):
-            text, start = where[k]
-            row, a = tags[: size[n], n], 0
+        for n, (k, start, end, core, core_end) in enumerate(own):
+            text, first, last = where[k]
+            row = tags[: size[n], n]
             for a in np.flatnonzero(row % 2 == 1).tolist():
                 b = a + 1
                 while b < len(row) and row[b] == row[a] + 1:
                     b += 1
-                if sure[a:b, n].min() >= SURE:
-                    out[text].append(((int(row[a]) - 1) // 2, start + a, start + b))
+                if core <= start + a < core_end and sure[a:b, n].min() >= SURE:
+                    found[k].append(((int(row[a]) - 1) // 2, start + a, start + b))
+            tight[k] |= start == first > 0 and bool(row[:CLEAR].any())
+            tight[k] |= end == last < len(texts[text]) and bool(row[-CLEAR:].any())
         at = upto
-    return out
+    yield from zip(where, found, tight, strict=True)
 
 
 def fits(kind: int, s: str) -> bool:
     """Whether a span's characters suit its kind."""
     d = _digits(s)
     if kind == 0:
-        return bool(re.search(r"@|[\[(]at[\])]", s, re.I)) and len(re.findall("[A-Za-z]+", s)) >= 3
+        return bool(_WRITTEN.search(s)) and len(re.findall("[A-Za-z]+", s)) >= 3
     if kind == 1:
         parts = re.findall("[0-9]+", s)
         return len(parts) == 4 and all(int(x) <= 255 for x in parts)

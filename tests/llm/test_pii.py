@@ -67,3 +67,58 @@ def test_added_spans_touch_no_base_span(spark, model, monkeypatch):
         assert set(base) <= set(every) and len(every) == len(base) + r.n_added and every == sorted(every)
         extra = set(every) - set(base)
         assert all(b <= c or d <= a for _, a, b in extra for _, c, d in base)
+
+
+#: Written by hand, not by the generator that the model learns from: a text and what is personal in it.
+WRITTEN = [
+    ("john.miller (at) example dot com", ["john.miller (at) example dot com"]),
+    ("Please write to sarah_lee AT gmail DOT com before Friday.", ["sarah_lee AT gmail DOT com"]),
+    ("You can reach bob {at} corp.org for details.", ["bob {at} corp.org"]),
+    ("Questions go to averyveryverylongfirstname.andlastname (at) example dot com, thanks.", ["averyveryverylongfirstname.andlastname (at) example dot com"]),
+    ("Kontakt: maximilian.mustermann.schmidt (at) informatik dot uni-muenchen dot de", ["maximilian.mustermann.schmidt (at) informatik dot uni-muenchen dot de"]),
+    ("Her old address was alice[at]wonderland.net, I think.", ["alice[at]wonderland.net"]),
+    ("send the invoice to billing (at) shop.example.com today", ["billing (at) shop.example.com"]),
+    ("My mail is tom.hansen [at] nordic [dot] org and I answer quickly", ["tom.hansen [at] nordic [dot] org"]),
+    ("info (AT) museum (DOT) org", ["info (AT) museum (DOT) org"]),
+    ("Call me at (415) 555-0132 after six.", ["(415) 555-0132"]),
+    ("Her number is 212-555-0187, but she rarely answers.", ["212-555-0187"]),
+    ("Fax 312.555.0199 still works", ["312.555.0199"]),
+    ("The desk can be reached at 617-555-0143 or by mail.", ["617-555-0143"]),
+    ("The host 10[.]20[.]30[.]40 answered twice", ["10[.]20[.]30[.]40"]),
+    ("blocked 192(.)168(.)7(.)12 yesterday", ["192(.)168(.)7(.)12"]),
+    ("Traffic came from 203[.]0[.]113[.]77 only.", ["203[.]0[.]113[.]77"]),
+    ("I paid with 4111.1111.1111.1111 last week.", ["4111.1111.1111.1111"]),
+    ("card no. 5500_0000_0000_0004 was declined", ["5500_0000_0000_0004"]),
+    ("Use 4012/8888/8888/1881 for the test shop.", ["4012/8888/8888/1881"]),
+    ("Ask peter at peters-garage dot co dot uk about the car", ["peter at peters-garage dot co dot uk"]),
+]
+CLEAN = [
+    "We met at the station. At home we dot the i and cross the t.", "The train leaves at 10:45 from platform 3.", "In 1987 some 12,500 people lived there (1990: 13,200).",
+    "Version 2.10.3 came out on 2021-04-30.", "See pages 112-118, figure 4.2.", "He scored 21 points at Madison Square Garden.", "The ratio is 3.14159 to 1.", "ISBN 978-3-16-148410-0",
+    "Room 101 (at the end of the hall) is closed.", "Tickets cost $24.99 each, 10% off for groups.", "The dot product of two vectors is a number.", "Meet us at noon.",
+]
+
+
+def test_spans_written_by_hand(model):
+    found = pii.decode(model, [t for t, _ in WRITTEN])
+    got = [{t[a:b] for k, a, b in spans if pii.fits(k, t[a:b])} for (t, _), spans in zip(WRITTEN, found, strict=True)]
+    hits = sum(set(want) == have for (_, want), have in zip(WRITTEN, got, strict=True))
+    assert hits >= 0.8 * len(WRITTEN), [(w, g) for (_, w), g in zip(WRITTEN, got, strict=True) if set(w) != g]
+    clean = pii.decode(model, CLEAN)
+    assert not [t[a:b] for t, spans in zip(CLEAN, clean, strict=True) for k, a, b in spans if pii.fits(k, t[a:b])]
+
+
+def test_long_spans_are_found_whole_anywhere(model):
+    span = "a" + "very" * 14 + ".long.name (at) department dot university dot example dot org"
+    for lead in (0, 3, 40, 500):
+        text = prose(lead, lead).replace("\n", " ") + " " + span + " " + prose(60, 1).replace("\n", " ")
+        assert span in {text[a:b] for _, a, b in pii.decode(model, [text])[0]}
+
+
+def test_regions_longer_than_a_piece(model, monkeypatch):
+    text = "on 2021-04-30 call 212-555-0187 or 617-555-0143, " * 60
+    whole = pii.decode(model, [text])[0]
+    monkeypatch.setattr(pii, "LONG", 400)
+    monkeypatch.setattr(pii, "LAP", 128)
+    cut = pii.decode(model, [text])[0]
+    assert len(whole) > 60 and len(set(whole) & set(cut)) >= 0.97 * len(whole)
