@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batch, column: int, rows: int = 500) -> Iterator:
+    """Parts of an Arrow batch with the texts of a column, so that few are held as Python strings at once."""
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        yield part, part.column(column).to_pylist()
+
+
+def freeing(batches: Iterator) -> Iterator:
+    """The batches; after the last one the worker, which goes on to other tasks, gives unused memory back."""
+    yield from batches
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """``rows`` with the other columns of ``found`` (saved, one row a key), null for keys not in it.
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import freeing, table
 
 WIDTH = 5
 CONTAINED = 0.8
@@ -228,7 +228,7 @@ def _scan(batches: Iterator, templates: dict | None, contained: float) -> Iterat
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contained: float = CONTAINED) -> DataFrame:
     """One row per row: doc_id, n_notices, licenses (names), spans (name:start:end); no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(lambda it: _scan(it, templates, contained), "doc_id long, n_notices long, licenses string, spans string")
+    return rows.mapInArrow(lambda it: freeing(_scan(it, templates, contained)), "doc_id long, n_notices long, licenses string, spans string")
 
 
 def query(spark, sf_dir):

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import freeing, table
 
 LIMIT = 4096
 CLOSING = 2
@@ -49,8 +49,8 @@ def _cut(batches: Iterator, tokenizer: str, limit: int, with_ids: bool) -> Itera
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
             cols: list[list] = [[] for _ in names]
             for doc, ids in zip(part.column(0).to_pylist(), words.batch(part.column(1).to_pylist()), strict=True):
                 ids += close
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIM
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lambda it: _cut(it, tokenizer, limit, with_ids), schema)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lambda it: freeing(_cut(it, tokenizer, limit, with_ids)), schema)
     # the place of a row within its split; Spark keeps it for tasks that run again
     return rows.withColumns({
         "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"),

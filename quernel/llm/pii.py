@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import freeing, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, and a first and further character of each kind
@@ -569,7 +569,7 @@ def _scan(batches: Iterator, p) -> Iterator:
     empty = hashlib.sha256(b"").hexdigest()
     for batch in batches:
         cols: list[list] = [[] for _ in names[1:]]
-        for base, added in spans_of(p.value, batch.column(1).to_pylist()):
+        for base, added in (x for _, texts in slices(batch, 1, 2000) for x in spans_of(p.value, texts)):
             row = [sum(k == kind for k, _, _ in base) for kind in range(4)]
             row += [hashlib.sha256(joined(base).encode()).hexdigest() if base else empty, joined(base + added), len(added)]
             for c, v in zip(cols, row, strict=True):
@@ -582,7 +582,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row: doc_id, counts of base spans, base_sha256, all spans, n_added; no shuffle."""
     p = docs.sparkSession.sparkContext.broadcast(trained())  # some 60 kB
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _scan(it, p), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: freeing(_scan(it, p)), schema)
 
 
 def query(spark, sf_dir):

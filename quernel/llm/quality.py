@@ -35,7 +35,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, looked_up, saved, table
+from .common import dropped, freeing, looked_up, saved, slices, table
 
 ORDER, BITS = 4, 16
 SYMBOLS = "#*$%&|<>"
@@ -47,7 +47,7 @@ PRIOR = 10
 #: Histogram cells per unit (nat a character).
 CELLS = 500
 #: Characters that are worked on at once, unless one text is longer.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Entries of the model that are broadcast at a time.
 SHARD = 1 << 22
 #: Different n-grams that a counting task holds before it passes them on.
@@ -162,7 +162,7 @@ def _powers(n: int):
     import numpy as np
 
     if not _known_powers or len(_known_powers[0]) < n + 1:
-        size = max(n + 1, AT_ONCE + (1 << 18))
+        size = max(n + 1, AT_ONCE + (1 << 17))
         both = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
@@ -183,13 +183,6 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int, Block]]:
         at = upto
 
 
-def _slices(batch, column: int, rows: int = 500) -> Iterator:
-    """Parts of a batch with their texts, so that few are held as Python strings at once."""
-    for lo in range(0, batch.num_rows, rows):
-        part = batch.slice(lo, rows)
-        yield part, part.column(column).to_pylist()
-
-
 def _grams(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
@@ -198,22 +191,31 @@ def _grams(batches: Iterator) -> Iterator:
         for at in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], ["g", "c"])
 
+    def merged():
+        both = np.concatenate([k for k, _ in new])
+        whole, inverse = np.unique(both, return_inverse=True)
+        return whole, np.bincount(inverse, np.concatenate([c for _, c in new]), len(whole)).astype(np.int64)
+
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    new = [(keys, counts)]
     for batch in batches:
-        for _, texts in _slices(batch, 0):
+        for _, texts in slices(batch, 0):
             for _, _, block in blocks(texts):
-                k, c = np.unique(block.grams(), return_counts=True)
-                keys, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                counts = np.bincount(inverse, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-                if len(keys) > HELD:
-                    yield from out()
-                    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                new.append(np.unique(block.grams(), return_counts=True))
+                # what came since is as much as what was there: each n-gram is merged few times
+                if sum(len(k) for k, _ in new[1:]) > max(1 << 19, len(new[0][0])):
+                    keys, counts = merged()
+                    if len(keys) > HELD:
+                        yield from out()
+                        keys, counts = keys[:0], counts[:0]
+                    new = [(keys, counts)]
+    keys, counts = merged()
     yield from out()
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """How often each packed 4-gram occurs in all texts: g long, c long."""
-    return docs.select("text").mapInArrow(_grams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lambda it: freeing(_grams(it)), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def kneser_ney(counted: DataFrame) -> DataFrame:
@@ -350,7 +352,7 @@ def _rate(batches: Iterator, shard: _Shared, base: bool) -> Iterator:
 
     for batch in batches:
         last = batch.num_columns - 1
-        for part, texts in _slices(batch, last):
+        for part, texts in slices(batch, last):
             found: dict[str, list] = {x: [] for x in ((*FIGURES, "chars") if base else ())} | {"sum": []}
             for _, _, block in blocks(texts):
                 if base:
@@ -379,9 +381,9 @@ def rated(docs: DataFrame, model: DataFrame, carry: list[str], shard: int = SHAR
             rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("q_row"), *_key(), "text")
             kind = rows.schema["q_row"].dataType.simpleString()
             schema = ", ".join([f"q_row {kind}", *[f"{k} long" for k in KEY], *[f"q_{x} long" for x in (*FIGURES, "chars")], "q_sum double"])
-            first = saved(rows.mapInArrow(lambda it, own=own: _rate(it, own, True), schema), "rated")
+            first = saved(rows.mapInArrow(lambda it, own=own: freeing(_rate(it, own, True)), schema), "rated")
         else:
-            rows = docs.select(*_key(), "text").mapInArrow(lambda it, own=own: _rate(it, own, False), ", ".join([*[f"{k} long" for k in KEY], "q_sum double"]))
+            rows = docs.select(*_key(), "text").mapInArrow(lambda it, own=own: freeing(_rate(it, own, False)), ", ".join([*[f"{k} long" for k in KEY], "q_sum double"]))
             more.append(saved(rows.groupBy(*KEY).agg(F.max("q_sum").alias("part"), F.count(F.lit(1)).alias("w")), "part"))
         own.sent.unpersist()
     rows = first

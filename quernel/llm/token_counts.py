@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import freeing, slices, table
 
 LIMIT = 512
 
@@ -197,7 +197,7 @@ def _count(batches: Iterator, name: str, limit: int) -> Iterator:
 
     counter = prefix_counter(name)
     for batch in batches:
-        n = [counter.count(t) for t in batch.column(1).to_pylist()]
+        n = [counter.count(t) for _, texts in slices(batch, 1) for t in texts]
         size = pc.fill_null(pc.binary_length(batch.column(1)), 0)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pc.cast(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
@@ -208,7 +208,7 @@ def _count(batches: Iterator, name: str, limit: int) -> Iterator:
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether they pass ``limit``; one pass, no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(lambda it: _count(it, tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lambda it: freeing(_count(it, tokenizer, limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _index(batches: Iterator, name: str) -> Iterator:

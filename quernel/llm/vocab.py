@@ -45,7 +45,7 @@ BYTE_WORDS = re.compile(f"{_CUT}| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S
 END_WORDS = re.compile(f"{_CUT}|[{L}]+|[{N}]|[^{S}{L}{N}]+")
 
 #: Different words that a task remembers before it starts afresh: some 150 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def path(name: str) -> str:
