@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, partitions, saved, table
+from .common import components, dropped, freeing, looked_up, partitions, saved, slices, table
 
 WIDTH = 3
 SEED = 42
@@ -63,13 +63,20 @@ def _prints(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        fp = np.array([fingerprint(t) for _, texts in slices(batch, 1) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(fp)], ["doc_id", "key_a", "key_b", "fp"])
+
+
+def _key() -> list[Column]:
+    """128 bits that name a text."""
+    own = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(own).alias("key_a"), F.xxhash64(F.lit(7), own).alias("key_b")]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed 64 bits), a row each; one pass, no shuffle."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_prints, "doc_id long, fp long")
+    """doc_id, the text's key and fp (signed 64 bits), a row each; one pass, no shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *_key())
+    return rows.mapInArrow(lambda it: freeing(_prints(it)), "doc_id long, key_a long, key_b long, fp long")
 
 
 def _syndrome(half):
@@ -171,7 +178,7 @@ def links(classes: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) ->
     own = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.select("anchor", F.explode(own).alias("part"), "role", "fp")
     rows = rows.repartition(partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part", "role")
-    return rows.mapInArrow(lambda it: _compare(it, threshold), "a long, b long")
+    return rows.mapInArrow(lambda it: freeing(_compare(it, threshold)), "a long, b long")
 
 
 def _homes(batches: Iterator) -> Iterator:
@@ -185,30 +192,47 @@ def _is_home(batch):
     return pc.equal(batch.column(1), 0)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
+def _members(docs: DataFrame, threshold: int, chunk: int) -> DataFrame:
+    """doc_id, the text's key, fp, the component's ``root`` (a fingerprint) and its least doc_id, a row each."""
     prints = saved(fingerprints(docs), "prints")
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "classes")
     found = components(links(classes, threshold, chunk))
-    named = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
-    out = prints.join(names, "fp")
+    named = looked_up(classes, found.withColumnRenamed("id", "fp"), ["fp"]).withColumn("root", F.coalesce("root", "fp"))
+    named = saved(named, "named")
+    least = saved(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps")), "least")
+    names = saved(looked_up(named.select("fp", "root", "rows"), least, ["root"], "fps").drop("fps"), "names")
+    dropped(classes, found, named, least)
+    return looked_up(prints, names, ["fp"], "rows").drop("rows")
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
+    out = _members(docs, threshold, chunk)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the least doc_id stays.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id
-    cannot be named and stay as they are.
+    Where several rows of a component have this doc_id, the one whose text has the least hash
+    stays, and of equal rows one.  Different texts under one doc_id are different documents.
+    Rows without a doc_id cannot be named and stay as they are.  Those that go are looked up;
+    those that stay are not shuffled.
     """
-    rows = saved(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "keepers")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("s_row"), F.col("doc_id").alias("s_id"))
-    own = row.join(rows.withColumnRenamed("doc_id", "s_id"), "s_id", "left_semi")
-    first = Window.partitionBy("s_id").orderBy(F.xxhash64("s_row.text"))
-    own = own.withColumn("s_no", F.row_number().over(first)).where("s_no = 1").select("s_row.*")
-    return own.union(docs.where("doc_id IS NULL"))
+    key = ["s_id", "key_a", "key_b"]
+    rows = saved(_members(docs, THRESHOLD, CHUNK).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "s_id"), "members")
+    groups = saved(rows.groupBy("root", *key).agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies")), "groups")
+    keep = groups.where("s_id = component_id").groupBy("root").agg(F.min(F.struct(*key)).alias("keep"))
+    keep = keep.select(*[F.col(f"keep.{k}").alias(k) for k in key], F.lit(True).alias("stays"))
+    # what a row's key must be looked up for: it goes, or only one of its copies stays
+    marked = groups.join(keep, key, "left").withColumn("stays", F.coalesce("stays", F.lit(False))).where("NOT stays OR copies > 1")
+    marked = saved(marked.select(*key, "copies", "stays"), "marked")
+    dropped(rows, groups)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("s_row"), F.col("doc_id").cast("long").alias("s_id"), *_key())
+    found = looked_up(row, marked, key, "copies")
+    one = Window.partitionBy(*key).orderBy(F.xxhash64("s_row"))
+    copies = found.where("stays").withColumn("s_no", F.row_number().over(one)).where("s_no = 1")
+    return found.where("stays IS NULL").select("s_row.*").union(copies.select("s_row.*"))
 
 
 def query(spark, sf_dir):

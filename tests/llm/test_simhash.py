@@ -66,3 +66,12 @@ def test_one_of_each_group_stays(spark):
     body = prose(300, 9)
     got = simhash.deduplicated(table(spark, [body, body + " end", prose(300, 10), body])).collect()
     assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+def test_different_texts_under_one_id_both_stay(spark):
+    from .helpers import SCHEMA
+
+    a, b = prose(200, 20), prose(200, 21)
+    data = [(1, a, "en", "web", 1), (1, b, "en", "web", 1), (1, b, "en", "web", 1), (2, a + " x", "en", "web", 1), (3, b, "de", "book", 2)]
+    got = simhash.deduplicated(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b)])
