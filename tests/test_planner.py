@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from quernel import errors
 from quernel.engine import Engine
 from quernel.plans.request import Filter, QueryRequest
+from quernel.functions.expressions import literal
 from quernel.plans.router import plan
+from quernel.plans.selector import diagnosis, select_datasets, select_for_join
 from quernel.registry import engine, schema
 from quernel.streaming import stream
 
@@ -103,6 +105,32 @@ def test_errors(own, request_, error):
         own.query(request_).collect()
 
 
+def test_ambiguous_groups_and_diagnosis():
+    """Both groups have years and n: without a name neither is chosen; what no dataset has is named."""
+    shop = schema().model("shop")
+    with pytest.raises(errors.AmbiguousDatasetGroup, match="ord.*li"):
+        select_datasets(shop, ["dates.year"], ["n"])
+    assert [(g.name, d.name) for g, d in select_datasets(shop, ["li.dates.year"], ["n"])] == [("li", "li")]
+    with pytest.raises(errors.NoFeasibleDataset) as said:
+        select_datasets(shop, ["status.status", "flags.returnflag"], ["n"])
+    assert "ord.ord lacks flags.returnflag" in str(said.value) and "li.li lacks status.status" in str(said.value)
+    assert "ord.ord lacks price" in diagnosis(shop, ["dates.year"], ["price"])
+    with pytest.raises(errors.AmbiguousDatasetGroup):
+        select_for_join(shop, ["ord.dates.year", "li.dates.year"], ["n"])
+
+
+def test_partitions_are_all_chosen():
+    own = select_datasets(schema().model("parted"), ["priority.priority"], ["sales"])
+    assert [d.name for _, d in own] == ["ord_F", "ord_O", "ord_P"]
+
+
+def test_literals(spark):
+    """JSON values of every kind come back from the SQL that they are written as."""
+    values = [None, True, False, 1.5, -3, 10**12, "o'x", "back\\slash", ""]
+    row = spark.sql("SELECT " + ", ".join(literal(v) for v in values)).first()
+    assert list(row) == values
+
+
 def test_routes():
     how = lambda model, **r: plan(schema(), {"model": model, **r})
     assert how("levels", rows=["dates.year"], metrics=["sales"]).branches[0].dataset == "ord_year"
