@@ -4,7 +4,8 @@ The patterns (email, ip, card, phone) give the base spans.  The model adds what
 addresses written "name (at) host dot com" or "10[.]0[.]0[.]1", cards with other separators,
 telephone numbers without a plus.  It is trained in numpy, by back-propagation through the LSTM
 and the CRF's forward-backward recursion, from EXAMPLES labelled windows that a seeded generator
-writes; so it is the same for every corpus.
+writes; so it is the same for every corpus.  ``python -m quernel.llm.pii`` trains it and keeps the
+parameters in a file beside this one; where that is missing or another recipe's, the driver trains.
 
 Where it looks: ``fits`` accepts no span without a digit, an "@", an "at" in brackets or before a
 host, or a "dot", so places without these are read and found empty by a pattern, and only the
@@ -24,6 +25,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -358,10 +360,28 @@ def _loss(p: dict, e, y, z) -> float:
     return float((z - own).mean())
 
 
+#: The trained parameters, some 60 kB, beside the number that says what they were trained with.
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
+
+
+def recipe() -> str:
+    """What training depends on: its numbers, and the examples themselves."""
+    import hashlib
+
+    seen = hashlib.sha256(repr(((EXAMPLES, BATCH, HIDDEN, SEED, WINDOW, PADDED, TAGS), examples(50, SEED))).encode())
+    return seen.hexdigest()
+
+
 @functools.cache
-def trained(count: int = EXAMPLES, hidden: int = HIDDEN, seed: int = SEED) -> dict:
-    """The parameters that ``fit`` finds; a process fits once."""
-    return fit(count, hidden, seed)
+def trained() -> dict:
+    """The parameters that ``fit`` finds, read from WEIGHTS if these come from the same recipe, else fitted now."""
+    import numpy as np
+
+    if WEIGHTS.exists():
+        with np.load(WEIGHTS) as held:
+            if str(held["recipe"]) == recipe():
+                return {k: held[k] for k in held.files if k != "recipe"}
+    return fit(EXAMPLES, HIDDEN, SEED)
 
 
 def fit(count: int, hidden: int, seed: int, trace: list | None = None) -> dict:
@@ -587,3 +607,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+if __name__ == "__main__":  # python -m quernel.llm.pii trains anew and writes the parameters
+    import numpy as np
+
+    np.savez_compressed(WEIGHTS, recipe=recipe(), **fit(EXAMPLES, HIDDEN, SEED))

@@ -122,3 +122,17 @@ def test_regions_longer_than_a_piece(model, monkeypatch):
     monkeypatch.setattr(pii, "LAP", 128)
     cut = pii.decode(model, [text])[0]
     assert len(whole) > 60 and len(set(whole) & set(cut)) >= 0.97 * len(whole)
+
+
+def test_training_learns():
+    losses = []
+    pii.fit(1280, 8, 1, losses)
+    assert sum(losses[-5:]) < 0.5 * sum(losses[:5])
+
+
+def test_kept_weights_are_of_this_recipe(model):
+    import numpy as np
+
+    with np.load(pii.WEIGHTS) as held:
+        assert str(held["recipe"]) == pii.recipe()
+        assert set(held.files) - {"recipe"} == set(model)
