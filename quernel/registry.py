@@ -130,6 +130,8 @@ for _name, _metric, _sql in [
 ]:
     add(_name, "sales", grouped("l_returnflag", "flags.returnflag", _sql), rows=["flags.returnflag"], metrics=[_metric])
 
+add("agg_four", "sales", grouped("l_returnflag", "flags.returnflag", "COUNT(DISTINCT l_orderkey) AS orders", "ROUND(AVG(l_extendedprice), 2) AS average_price", "ROUND(MIN(l_extendedprice), 2) AS least", "ROUND(MAX(l_extendedprice), 2) AS most"), rows=["flags.returnflag"], metrics=["orders", "average_price", "least", "most"])
+
 # --- filters
 for _name, _op, _value, _where in [
     ("filter_eq", None, 5, "p_size = 5"), ("filter_neq", "neq", 5, "p_size <> 5"), ("filter_lt", "lt", 10, "p_size < 10"), ("filter_lte", "<=", 10, "p_size <= 10"),
