@@ -1,12 +1,13 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
 Words are runs of letters and digits, lower-cased; shingles are five words.  A template of s
-shingles is looked for in windows of m >= 2 s shingles (m = 8, 32, 128, 512, 2048), each
-starting half a window after the last, so some window holds it whole.  Its similarity to that
-window is at least s / m > 1 / 8, or 1 / 10 where only the needed share is there.  With HASHES
-minima, each a band of one row, the window retrieves the template with probability
-1 - (1 - 1 / 8) ** 64 = 0.9998 (0.9988 at 1 / 10).  A retrieved template counts if CONTAINED of
-its shingles or more are in the document around that window, compared as 64-bit hashes.
+shingles is looked for in windows of m >= 2 s shingles (m = 8, 32, 128 and so on, as far as the
+longest template needs), each starting half a window after the last, so some window holds it
+whole.  Its similarity to that window is at least s / m > 1 / 8, or 1 / 10 where only the needed
+share is there.  With HASHES minima, each a band of one row, the window retrieves the template
+with probability 1 - (1 - 1 / 8) ** 64 = 0.9998 (0.9988 at 1 / 10) for independent hashes;
+``tests/llm/test_licenses.py`` measures it.  A retrieved template counts if CONTAINED of its
+shingles or more are in the document around that window, compared as 64-bit hashes.
 
 Null texts hold nothing; repeated rows are scanned alike; an empty table gives an empty
 result.  Templates of fewer than five words are refused.  Spans are code points, end exclusive,
@@ -26,9 +27,11 @@ from .common import freeing, table
 WIDTH = 5
 CONTAINED = 0.8
 HASHES = 64
-WINDOWS = (8, 32, 128, 512, 2048)
+#: The smallest window; each further one is four times as long.
+LEAST = 8
 
-#: Short statements and the operative paragraphs of common licences.
+# The wording of public licences.  Short statements, operative paragraphs, and the whole
+# of short licences; others can be given.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -39,6 +42,10 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "BSD-2-Clause": [
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     ],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -60,6 +67,10 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "CC0-1.0": ["To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."],
+    "BSL-1.0": [
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    ],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
@@ -108,10 +119,23 @@ class Words:
         self.whole = self.doc[:n] == self.doc[WIDTH - 1 :][:n]
 
 
+@functools.cache
 def _multipliers():
+    """Two odd factors for each hash function."""
+    import numpy as np
+
+    both = np.random.default_rng(7).integers(1 << 20, 1 << 32, (HASHES, 2), dtype=np.uint64)
+    return [(a, b) for a, b in both.astype(np.uint32) | np.uint32(1)]
+
+
+def _scattered(low, factors):
+    """A hash function of 32 bits, one to one."""
     import numpy as np
 
-    return np.random.default_rng(7).integers(1 << 20, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    x = low * factors[0]
+    x ^= x >> np.uint32(15)
+    x *= factors[1]
+    return x
 
 
 class Templates:
@@ -128,12 +152,14 @@ class Templates:
                     raise ValueError(f"a template of {name} has fewer than {WIDTH} words")
                 self.names.append(name)
                 self.sets.append(own)
-        a = _multipliers()
-        self.bands: dict[int, list] = {m: [] for m in WINDOWS}
+        self.bands: dict[int, list] = {}
         for k, own in enumerate(self.sets):
-            m = next((m for m in WINDOWS if m >= 2 * len(own)), WINDOWS[-1])
-            self.bands[m].append((k, ((own.astype(np.uint32))[None, :] * a[:, None]).min(axis=1)))
-        self.bands = {m: x for m, x in self.bands.items() if x}
+            m = LEAST
+            while m < 2 * len(own):
+                m *= 4
+            minima = np.array([_scattered(own.astype(np.uint32), f).min() for f in _multipliers()])
+            self.bands.setdefault(m, []).append((k, minima))
+        self.windows = sorted(self.bands)
         self.marks = {m: np.zeros((HASHES, 1 << 16), bool) for m in self.bands}
         for m, rows in self.bands.items():
             for _, minima in rows:
@@ -143,21 +169,19 @@ class Templates:
         """(template, first shingle, window size) of windows that share a minimum with a template."""
         import numpy as np
 
-        out, least = set(), WINDOWS[0] // 2
+        out, least = set(), LEAST // 2
         n = -(-len(hashes) // least)
         low = np.zeros(n * least, np.uint32)
         low[: len(hashes)] = hashes.astype(np.uint32)
         low[len(hashes) :] = low[len(hashes) - 1] if len(hashes) else 0
         rows = low.reshape(n, least).T.copy()
-        for k, a in enumerate(_multipliers()):
-            block, step = np.minimum.reduce(rows * a, axis=0), least
-            for m in WINDOWS:
+        for k, factors in enumerate(_multipliers()):
+            block, step = np.minimum.reduce(_scattered(rows, factors), axis=0), least
+            for m in self.windows:
                 while step < m // 2:  # blocks of half a window
                     if len(block) % 2:
                         block = np.append(block, block[-1])
                     block, step = np.minimum(block[::2], block[1::2]), 2 * step
-                if m not in self.bands:
-                    continue
                 window = np.minimum(block[:-1], block[1:]) if len(block) > 1 else block
                 for at in np.flatnonzero(self.marks[m][k][window & 0xFFFF]).tolist():
                     out |= {(t, at * (m // 2), m) for t, minima in self.bands[m] if minima[k] == window[at]}
