@@ -137,46 +137,50 @@ class PrefixCounter:
     def prefix_counts(self, text: str | None) -> list[int]:
         """Tokens of ``text[:k]`` for k from 0 to len(text).
 
-        A word cut short is a word of the same kind, but for two cases handled apart: a
-        contraction cut before its end falls into its apostrophe and letters, and white space
-        before a word, cut off from it, joins the white space before.  Special strings cut
-        short are ordinary text, so that the tail from there is counted anew.
+        A special string cut short is ordinary text and joins what lies before it, up to the
+        special string before; so the counts there come from one run over both.
         """
-        out = [0]
-        text = text or ""
-        base, done = 0, ""
-        for part, special in self._segments(text):
+        out, base, before = [0], 0, ""
+        for part, special in self._segments(text or ""):
             if special:
-                head = len(done)
-                for k in range(1, len(part)):  # a broken special string joins what lies before it
-                    out.append(self.count(text[: head + k]))
-                base += 1
+                out += [base + n for n in self._plain_counts(before + part[:-1])[len(before) + 1 :]]
+                base += (self._plain_counts(before)[-1] if before else 0) + 1
                 out.append(base)
-                done += part
-                continue
-            space, before = "", base
-            for word in self.split(part):
-                counts, step, at = self.prefixes(word.encode()), [], 0
-                for c in word:
-                    at += len(c.encode())
-                    step.append(counts[at])
-                own = [base + c for c in step]
-                blank = all(map(_blank, word))
-                if space and _blank(word[0]):
-                    lead = len(word) if blank else 1
-                    for k in range(lead):  # cut after its blanks, the run of white space is one word
-                        own[k] = before + self.prefixes((space + word[: k + 1]).encode())[-1]
-                if word[0] == "'" and len(word) == 3 and word[1] in "rvl":
-                    own[1] = base + 2
-                out += own
-                base += counts[-1]
-                if blank:
-                    if not space:
-                        before = base - counts[-1]
-                    space += word
-                else:
-                    space, before = "", base
-            done += part
+                before = ""
+            else:
+                out += [base + n for n in self._plain_counts(part)[1:]]
+                before = part
+        return out
+
+    def _plain_counts(self, text: str) -> list[int]:
+        """The counts at the prefixes of a text without special strings.
+
+        A word cut short is a word of the same kind, but for two cases handled apart: a
+        contraction cut before its end falls into its apostrophe and letters, and white space
+        before a word, cut off from it, joins the white space before.
+        """
+        out, base, space, before = [0], 0, "", 0
+        for word in self.split(text) if text else ():
+            counts, step, at = self.prefixes(word.encode()), [], 0
+            for c in word:
+                at += len(c.encode())
+                step.append(counts[at])
+            own = [base + c for c in step]
+            blank = all(map(_blank, word))
+            if space and _blank(word[0]):
+                lead = len(word) if blank else 1
+                for k in range(lead):  # cut after its blanks, the run of white space is one word
+                    own[k] = before + self.prefixes((space + word[: k + 1]).encode())[-1]
+            if word[0] == "'" and len(word) == 3 and word[1] in "rvl":
+                own[1] = base + 2
+            out += own
+            base += counts[-1]
+            if blank:
+                if not space:
+                    before = base - counts[-1]
+                space += word
+            else:
+                space, before = "", base
         return out
 
 
