@@ -13,8 +13,9 @@ left goes to documents that still fit, in a new order, and so on for LEVELS orde
 
 Null texts have size 0 and are taken 0 times; a null source is a source, ordered last; rows
 that repeat are separate rows of equal hash and are taken alike; an empty table gives an
-empty result.  The rows of sources, and of patterns, are gathered on the driver: bounded by
-the number of different sources and of their combinations, not by documents.
+empty result.  Only patterns and their sizes are gathered on the driver, PATTERNS at most: where
+membership has more combinations, as a source for every host would, that is an error and
+calls for a coarser ``member``.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MOST = 2
 SEED = 20
 #: Cells of the histogram over the seeded hash.
 CELLS = 4096
+#: Combinations of sources for which the driver solves the flow.
+PATTERNS = 10_000
 #: Orders in which documents are drawn, each for what the one before left.
 LEVELS = 5
 
@@ -112,20 +115,23 @@ def route(patterns: dict[tuple, int], goal: dict[str | None, float], most: int =
     return {p: sum(flow[e] for e in at) for p, at in own.items()}
 
 
-def mixed(docs: DataFrame, member: Column | None = None, size: Column | None = None, weights=(5, 2, 1), share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, member: Column | None = None, size: Column | None = None, weights=(5, 2, 1), share: float = SHARE, most: int = MOST, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """``m_row`` (a struct of the row), m_size, m_pattern, m_source_size, m_target, m_taken, m_times.
 
     ``member`` is an array of the sources that a row belongs to (by default its ``source``
-    alone); m_source_size and m_target are those of the first.  Texts are read twice: for a
-    narrow table of sizes, on which all is decided, and for the result.
+    alone); m_source_size and m_target are those of the first.  All is decided on a narrow
+    table of sizes.  With ``carry`` the row has these columns alone and comes from that table, else
+    texts are read once more for the result.
     """
     spark = docs.sparkSession
     member = F.array("source") if member is None else F.array_sort(F.array_distinct(member))
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m_row"), (size_of(F.col("text")) if size is None else size).alias("m_size"), member.alias("m_pattern")]
+    own = [F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("m_row"), (size_of(F.col("text")) if size is None else size).alias("m_size"), member.alias("m_pattern")]
     rows = docs.select("doc_id", *own)
     ranks = [F.pmod(F.xxhash64(F.lit(seed + k), F.col("doc_id")), F.lit(CELLS)).cast("int").alias(f"m_rank{k}") for k in range(LEVELS)]
-    thin = saved(rows.select("m_size", "m_pattern", *ranks), "sizes")
-    sums = thin.groupBy("m_pattern").agg(F.sum("m_size").alias("n")).collect()
+    thin = saved(rows.select(*(["doc_id", "m_row"] if carry else []), "m_size", "m_pattern", *ranks), "sizes")
+    sums = thin.groupBy("m_pattern").agg(F.sum("m_size").alias("n")).limit(PATTERNS + 1).collect()
+    if len(sums) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} combinations of sources")
     patterns = {tuple(r.m_pattern): int(r.n) for r in sums}
     sizes: dict[str | None, int] = {}
     for p, n in patterns.items():
@@ -148,7 +154,7 @@ def mixed(docs: DataFrame, member: Column | None = None, size: Column | None = N
         for k, x in plan.items():
             x[6].append(found[k].cell if k in found else -1)
             x[5].append(x[5][-1] - (found[k].upto if k in found else 0))
-    rows = rows.select("*", *ranks).join(_plans(spark, plan), F.col("m_pattern").eqNullSafe(F.col("p"))).drop("p")
+    rows = (thin if carry else rows.select("*", *ranks)).join(_plans(spark, plan), F.col("m_pattern").eqNullSafe(F.col("p"))).drop("p")
     rows = rows.withColumn("m_times", F.col("m_whole") + _once_more().cast("long")).withColumn("m_taken", F.col("m_times") * F.col("m_size"))
     return rows.select("m_row", "m_size", "m_pattern", "m_source_size", "m_target", "m_taken", "m_times")
 
@@ -175,5 +181,5 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mixed(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("m_row.doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), F.col("m_taken").alias("taken"))

@@ -43,6 +43,45 @@ def test_sources_come_near_their_targets(spark):
     assert mixing.repeated(df).count() == sum(t // n for _, _, n, _, _, t in got if n)
 
 
+def test_taken_words_equal_brute_force(spark):
+    """The drawing by the definition: whole times, then level by level what still fits in hash order."""
+    rnd = random.Random(6)
+    texts = [prose(rnd.randint(0, 90), k) for k in range(300)] + [None, ""]
+    df = table(spark, texts)
+    ranks = [F.pmod(F.xxhash64(F.lit(mixing.SEED + k), F.col("doc_id")), F.lit(mixing.CELLS)) for k in range(mixing.LEVELS)]
+    docs = {r.doc_id: (r.source, len(WORD.findall(texts[r.doc_id - 1] or "")), r.ranks) for r in df.select("doc_id", "source", F.array(*ranks).alias("ranks")).collect()}
+    size = Counter()
+    for source, n, _ in docs.values():
+        size[source] += n
+    want = {}
+    for source, target in mixing.targets(dict(size)).items():
+        own = {d: (n, r) for d, (s, n, r) in docs.items() if s == source}
+        whole, rest = divmod(round(target), size[source])
+        more: set = set()
+        for level in range(mixing.LEVELS):
+            cells: Counter = Counter()
+            open_ = [d for d, (n, _) in own.items() if 0 < n <= rest and d not in more]
+            for d in open_:
+                cells[own[d][1][level]] += own[d][0]
+            upto, edge = 0, -1
+            for cell in sorted(cells):
+                if upto + cells[cell] > rest:
+                    break
+                upto, edge = upto + cells[cell], cell
+            more |= {d for d in open_ if own[d][1][level] <= edge}
+            rest -= upto
+        want |= {d: n * (whole + (d in more)) for d, (n, _) in own.items()}
+    got = {r.doc_id: r.taken for r in mixing.mixed(df, carry=["doc_id"]).selectExpr("m_row.doc_id", "m_taken AS taken").collect()}
+    assert got == want
+    assert got == {r.doc_id: r.taken for r in mixing.mixed(df).selectExpr("m_row.doc_id", "m_taken AS taken").collect()}
+
+
+def test_too_many_combinations_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PATTERNS", 2)
+    with pytest.raises(ValueError, match="combinations"):
+        mixing.mixed(table(spark, ["a", "b", "c"]))
+
+
 def test_overlapping_sources(spark):
     df = table(spark, [prose(20, k) for k in range(60)])
     out = mixing.mixed(df, member=F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x")))).collect()
