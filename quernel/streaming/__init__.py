@@ -7,6 +7,8 @@ the final sort is allowed too.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,12 +16,17 @@ from ..engine import Engine
 from ..errors import InvalidQuery
 
 
-def stream(engine: Engine, request: dict, table: str, checkpoint: str | None = None) -> StreamingQuery:
-    """The request over streaming facts, its whole result kept in memory table ``table``."""
+def stream(engine: Engine, request: dict, table: str, checkpoint: str | None = None, sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """The request over streaming facts.
+
+    ``sink`` gets every whole result with its number and writes it where it likes.  Without one
+    it is kept in memory table ``table`` on the driver, which suits results as small as reports are.
+    """
     if engine.plan(request).combine != "single":
         raise InvalidQuery("only requests of one branch run over streams")
     df: DataFrame = engine.query(request)
     if not df.isStreaming:
         raise InvalidQuery("no table of the request is a stream")
-    writer = df.writeStream.outputMode("complete").format("memory").queryName(table)
+    writer = df.writeStream.outputMode("complete").queryName(table)
+    writer = writer.foreachBatch(sink) if sink else writer.format("memory")
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()

@@ -161,3 +161,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("streamed").collect())) == [(0, 20.0), (1, 25.0)]
+
+
+def test_stream_into_a_sink(spark, tmp_path):
+    spark.range(10).select((F.col("id") % 2).cast("int").alias("year"), F.col("id").cast("double").alias("v"), F.lit(1).alias("k")).write.parquet(str(tmp_path / "in"))
+    facts = spark.readStream.schema("year int, v double, k int").parquet(str(tmp_path / "in"))
+    write = lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / "out"))
+    q = stream(Engine(spark, MODEL, {"fact": facts}), {"model": "m", "rows": ["a.dates.year"], "metrics": ["x"]}, "sunk", str(tmp_path / "c"), write)
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(0, 20.0), (1, 25.0)]
