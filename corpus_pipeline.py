@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernel.llm import line_dedup, mixing, packing, quality, simhash
-from quernel.llm.common import saved, table
+from quernel.llm.common import dropped, saved, table
 
 STAGES = [
     ("quality_rules", lambda spark, docs, sf_dir: quality.filtered(docs)),
@@ -26,9 +26,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = saved(docs, name)
+            if before is not None:
+                dropped(before)  # the stage after it has been written
+            before = docs
     return docs
