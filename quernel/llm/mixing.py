@@ -146,7 +146,7 @@ def mixed(docs: DataFrame, member: Column | None = None, size: Column | None = N
     for level in range(LEVELS):
         if all(x[5][-1] == 0 for x in plan.values()):
             break
-        table_ = thin.join(_plans(spark, plan), F.col("m_pattern").eqNullSafe(F.col("p")))
+        table_ = thin.join(F.broadcast(_plans(spark, plan)), F.col("m_pattern").eqNullSafe(F.col("p")))
         open_ = table_.where(~_once_more() & (F.col("m_size") <= F.element_at("m_rests", -1)) & (F.col("m_size") > 0))
         cells = open_.groupBy("m_id", F.col(f"m_rank{level}").alias("cell")).agg(F.sum("m_size").alias("n"), F.first(F.element_at("m_rests", -1)).alias("rest"))
         run = cells.selectExpr("m_id", "cell", "rest", "sum(n) OVER (PARTITION BY m_id ORDER BY cell) AS upto").where("upto <= rest")
@@ -154,12 +154,13 @@ def mixed(docs: DataFrame, member: Column | None = None, size: Column | None = N
         for k, x in plan.items():
             x[6].append(found[k].cell if k in found else -1)
             x[5].append(x[5][-1] - (found[k].upto if k in found else 0))
-    rows = (thin if carry else rows.select("*", *ranks)).join(_plans(spark, plan), F.col("m_pattern").eqNullSafe(F.col("p"))).drop("p")
+    rows = (thin if carry else rows.select("*", *ranks)).join(F.broadcast(_plans(spark, plan)), F.col("m_pattern").eqNullSafe(F.col("p"))).drop("p")
     rows = rows.withColumn("m_times", F.col("m_whole") + _once_more().cast("long")).withColumn("m_taken", F.col("m_times") * F.col("m_size"))
     return rows.select("m_row", "m_size", "m_pattern", "m_source_size", "m_target", "m_taken", "m_times")
 
 
 def _plans(spark, plan: dict) -> DataFrame:
+    """A row per pattern, PATTERNS at most, so that it may be sent to all tasks: texts stay where they are."""
     names = ("m_id int", "p array<string>", "m_whole long", "m_source_size long", "m_target double", "m_rests array<long>", "m_edges array<int>")
     return spark.createDataFrame([tuple(x) for x in plan.values()], ", ".join(names))
 
