@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +18,11 @@ from .sources import Catalog
 class Engine:
     """Answers requests over the models of a schema.
 
-    ``tables`` are DataFrames by dataset or dimension-table name; what is not among them is
-    read from its declared source.
+    ``tables`` are DataFrames (or functions that give one) by dataset or dimension-table name; what
+    is not among them is read from its declared source.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema | str, tables: dict[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, schema: Schema | str, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None):
         self.spark = spark
         self.schema = schema if isinstance(schema, Schema) else (loads(schema) if "\n" in schema else load(schema))
         self.catalog = Catalog(spark, tables)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,17 +16,23 @@ from .templates import dataset_place, dimension_place
 class Catalog:
     """Resolves facts and dimension tables.
 
-    A registered DataFrame comes first, under the dataset's or the dimension table's name.
-    Otherwise a Parquet source is read from its path and an Iceberg source is a table of the
+    A registered table comes first, under the dataset's or the dimension table's name: a DataFrame,
+    or a function that gives one and is called when the table is first asked for.  Otherwise a Parquet source is read from its path and an Iceberg source is a table of the
     session's catalog.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.tables = spark, dict(tables or {})
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None):
+        self.spark, self._tables = spark, dict(tables or {})
         self._read: dict[tuple[str, str], DataFrame] = {}
 
     def register(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = df
+        self._tables[name] = df
+
+    def registered(self, name: str | None) -> DataFrame | None:
+        found = self._tables.get(name)
+        if callable(found):
+            found = self._tables[name] = found()
+        return found
 
     def _open(self, kind: str, place: str) -> DataFrame:
         if (kind, place) not in self._read:
@@ -33,16 +40,16 @@ class Catalog:
         return self._read[kind, place]
 
     def fact(self, model: SemanticModel, group: DatasetGroup, dataset: Dataset) -> DataFrame:
-        if dataset.name in self.tables:
-            return self.tables[dataset.name]
+        if (own := self.registered(dataset.name)) is not None:
+            return own
         if dataset.source is None:
             raise SourceError(f"dataset {dataset.name} is not registered and has no source")
         return self._open(dataset.source.kind, dataset_place(model, group, dataset))
 
     def dimension(self, model: SemanticModel, dimension: Dimension) -> DataFrame:
         for name in (dimension.table, dimension.name):
-            if name and name in self.tables:
-                return self.tables[name]
+            if (own := self.registered(name)) is not None:
+                return own
         if dimension.source is not None:
             return self._open(dimension.source.kind, dimension_place(model, dimension))
         raise SourceError(f"dimension {dimension.name} is not registered and has no source")
