@@ -1,5 +1,7 @@
 """Reading models: types, names, sources, templates, errors.  No Spark."""
 
+import json
+
 import pytest
 
 from quernel import errors
@@ -78,3 +80,46 @@ def test_templates():
         with pytest.raises(errors.SourceError):
             resolve_dimension_template(template, "m", None, "dates", "d")
     assert fill("plain", {}) == "plain"
+
+
+KINDS = {"string": str, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+
+
+def faults(node, rule, root, at="$"):
+    """What a document has against a schema, as far as this repository's schema goes."""
+    if "$ref" in rule:
+        rule = root["$defs"][rule["$ref"].rsplit("/", 1)[1]]
+    if "oneOf" in rule:
+        found = [faults(node, r, root, at) for r in rule["oneOf"]]
+        return [] if sum(not f for f in found) == 1 else found[0]
+    kinds = rule.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    out = [f"{at}: not {kinds}"] if kinds and not any(isinstance(node, KINDS[k]) for k in kinds) else []
+    if ("const" in rule and node != rule["const"]) or ("enum" in rule and node not in rule["enum"]):
+        out.append(f"{at}: {node!r}")
+    if isinstance(node, dict) and "properties" in rule:
+        out += [f"{at}: no {k}" for k in rule["required"] if k not in node] + [f"{at}.{k}: unknown" for k in node if k not in rule["properties"]]
+        for k, v in node.items():
+            out += faults(v, rule["properties"].get(k, {}), root, f"{at}.{k}")
+    if isinstance(node, list):
+        for n, v in enumerate(node):
+            out += faults(v, rule.get("items", {}), root, f"{at}[{n}]")
+    return out
+
+
+def test_documents_follow_the_schema():
+    from pathlib import Path
+
+    import yaml
+
+    import quernel
+    from quernel.document import json_schema
+
+    root = json_schema()
+    json.loads(json.dumps(root))
+    doc = yaml.safe_load((Path(quernel.__file__).parent / "models" / "tpch.yaml").read_text())
+    assert faults(doc, root, root) == []
+    doc["semantic_models"][0]["dataset_groups"][0]["measures"][0]["aggregation"] = "median"
+    doc["semantic_models"][0]["colour"] = 1
+    del doc["semantic_models"][1]["name"]
+    assert len(faults(doc, root, root)) == 3
