@@ -84,14 +84,15 @@ def freeing(batches: Iterator) -> Iterator:
         trim(0)
 
 
-def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], weight: str | None = None, length: str | None = None) -> DataFrame:
     """``rows`` with the other columns of ``found`` (saved, one row a key), null for keys not in it.
 
-    Up to SENT keys are sent to all executors.  Beyond that both sides are dealt by key, but
+    Up to SENT keys (or, with ``length``, numbers in the lists that it counts) are sent to all executors.  Beyond that both sides are dealt by key, but
     hot keys (``weight`` says how many rows have one) are sent and their rows dealt by the whole
     row, so that none of them fills a task.
     """
-    if found.count() <= SENT:
+    size = found.agg(F.count(F.lit(1)) + (F.sum(length) if length else F.lit(0))).first()[0] or 0
+    if size <= SENT:
         return rows.join(F.broadcast(found), keys, "left")
     if weight is None:
         return rows.join(found, keys, "left")
