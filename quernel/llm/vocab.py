@@ -45,7 +45,7 @@ BYTE_WORDS = re.compile(f"{_CUT}| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S
 END_WORDS = re.compile(f"{_CUT}|[{L}]+|[{N}]|[^{S}{L}{N}]+")
 
 #: Different words that a task remembers before it starts afresh: some 150 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 
 def path(name: str) -> str:
@@ -79,7 +79,7 @@ class WordIds:
         for t in texts:
             if not t:
                 words.append(())
-            elif UNSAFE.search(t) or self.specials.search(t):
+            elif (not t.isascii() and UNSAFE.search(t)) or self.specials.search(t):
                 words.append(None)
             else:
                 words.append(END_WORDS.findall(t.lower()))
