@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freeing, table
+from .vocab import REMEMBERED
 
 LIMIT = 4096
 CLOSING = 2
@@ -38,14 +39,14 @@ def pieces(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator, tokenizer: str, limit: int, with_ids: bool) -> Iterator:
+def _cut(batches: Iterator, tokenizer: str, limit: int, with_ids: bool, remembered: int) -> Iterator:
     import zlib
 
     import pyarrow as pa
 
     from .vocab import word_ids
 
-    words, close = word_ids(tokenizer), CLOSING.to_bytes(4, "little")
+    words, close = word_ids(tokenizer, remembered), CLOSING.to_bytes(4, "little")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
     for batch in batches:
@@ -62,16 +63,17 @@ def _cut(batches: Iterator, tokenizer: str, limit: int, with_ids: bool) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset, bucket.
 
     One pass without a shuffle.  ``sequence_id`` derives from the piece's place in its input
     split, which a rerun of a lost task finds again.  ``limit`` must be a power of two.
+    ``remembered`` words are kept in a worker's memory, some 200 bytes each; results do not depend on it.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lambda it: freeing(_cut(it, tokenizer, limit, with_ids)), schema)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lambda it: freeing(_cut(it, tokenizer, limit, with_ids, remembered)), schema)
     # the place of a row within its split; Spark keeps it for tasks that run again
     return rows.withColumns({
         "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"),

@@ -63,8 +63,8 @@ def library(name: str):
 class WordIds:
     """Ids of whole texts as packed little-endian unsigned 32-bit numbers (word_bpe)."""
 
-    def __init__(self, name: str = "word_bpe_49k.json"):
-        self.tok, self.known = library(name), {}
+    def __init__(self, name: str = "word_bpe_49k.json", remembered: int = REMEMBERED):
+        self.tok, self.known, self.most = library(name), {}, remembered
         self.specials = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
 
     @staticmethod
@@ -84,7 +84,7 @@ class WordIds:
             else:
                 words.append(END_WORDS.findall(t.lower()))
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.most:
             known.clear()
         new = list(set().union(*(w for w in words if w)).difference(known))
         for i in range(0, len(new), 20_000):
@@ -96,6 +96,6 @@ class WordIds:
 
 
 @functools.cache
-def word_ids(name: str) -> WordIds:
+def word_ids(name: str, remembered: int = REMEMBERED) -> WordIds:
     """One for each worker process, so that its tasks share what it remembers."""
-    return WordIds(name)
+    return WordIds(name, remembered)
