@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quernel.llm import line_dedup, mixing, packing, quality, simhash
 from quernel.llm.common import dropped, saved, table
 
+#: Words that a packing worker remembers: fewer than by default, beside the memory that earlier stages left in use.
+WORDS = 400_000
 STAGES = [
     ("quality_rules", lambda spark, docs, sf_dir: quality.filtered(docs)),
     ("line_dedup", lambda spark, docs, sf_dir: line_dedup.line_dedup(docs)),
     ("simhash", lambda spark, docs, sf_dir: simhash.deduplicated(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixing.repeated(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
+    ("packing", lambda spark, docs, sf_dir: packing.pack(docs, remembered=WORDS)),
 ]
 
 #: The quality model and the tokenizer are beyond SQL; tests hold the stages against brute force.
