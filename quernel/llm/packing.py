@@ -61,6 +61,8 @@ def _cut(batches: Iterator, tokenizer: str, limit: int, with_ids: bool, remember
                     for c, v in zip(cols, (doc, start, length, zlib.crc32(own), n, own)[: len(names)], strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+    if remembered < REMEMBERED:  # memory is short: the worker's next task may be another stage's
+        word_ids.cache_clear()
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
@@ -68,7 +70,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIM
 
     One pass without a shuffle.  ``sequence_id`` derives from the piece's place in its input
     split, which a rerun of a lost task finds again.  ``limit`` must be a power of two.
-    ``remembered`` words are kept in a worker's memory, some 200 bytes each; results do not depend on it.
+    ``remembered`` words are kept in a worker's memory, some 200 bytes each, and with fewer than by
+    default only until a task ends; results do not depend on it.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
