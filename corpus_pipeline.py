@@ -13,7 +13,7 @@ from quernel.llm import line_dedup, mixing, packing, quality, simhash
 from quernel.llm.common import dropped, saved, table
 
 #: Words that a packing worker remembers: fewer than by default, beside the memory that earlier stages left in use.
-WORDS = 400_000
+WORDS = 200_000
 STAGES = [
     ("quality_rules", lambda spark, docs, sf_dir: quality.filtered(docs)),
     ("line_dedup", lambda spark, docs, sf_dir: line_dedup.line_dedup(docs)),
