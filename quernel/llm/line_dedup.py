@@ -13,14 +13,16 @@ each range where DENSE hashes are expected is looked at.  BANDS take four minima
 simulation a pair of similarity 0.8 shares a band with probability 0.996 to 0.998, according to its
 length; at 0.86 it is 0.9995 and more.
 
-Verification.  In a band's bucket every line is compared with the bucket's centre, the member with
-the most copies, and with its neighbour in an order by its other bands; so a bucket of any size
-costs two comparisons a member, and no pairs within a group are listed.  A near pair shares up to
-15 buckets, each with another centre and another order, and is linked through any line between:
-of 23,172 near pairs among 16,263 lines with large groups of copies 99.7 per cent end up in one
-class, by brute force.
-Comparisons are exact, shingle by shingle as text, unless bitmaps of their shingles already prove two
-lines apart.
+Verification.  Every two lines that share a band's bucket are compared, unless they are linked
+already.  First each line is compared with the bucket's centre, the member with the most copies,
+and in a bucket of more than FEW with its neighbour in an order by its other bands; most groups
+are components after that, and no pairs within them are listed.  In the buckets that still hold
+lines of several components, all pairs of different components follow: up to FEW members they
+are listed; members of larger ones are paired by rare shingles (prefix filter: sets in one order of
+shingles, the rarest first, share one of their first 1 - SIMILAR if they are near), which leaves out
+no near pair either.  So the components are those of all near pairs that share a band.
+Comparisons are exact, by 64-bit hashes of all shingles of the two lines (odds of any confusion in a pair
+of 1,000 characters: 10 ** -13), unless bitmaps of their shingles already prove two lines apart.
 
 The line that stays is the first one of its component in the document with the least doc_id (of
 different texts under this doc_id, in the one with the least hash).  Rows with equal doc_id and
@@ -45,6 +47,8 @@ BANDS = [[4 * k + j for j in range(4)] for k in range(6)] + [[6 * j + (k + turn
 WORDS = 32
 #: Members of a bucket that one task puts in order, about.
 PART = 4096
+#: Members of a bucket of which pairs are listed; beyond that rare shingles pair them.
+FEW = 32
 _LAST = (1 << 63) - 1
 KEY = ["key_a", "key_b"]
 # Lists are unfolded by the outer form throughout: for the plain one the optimizer infers a filter
@@ -100,8 +104,9 @@ def _numbered(signed: DataFrame) -> DataFrame:
 
 
 def _set(line: str) -> str:
-    """The line's shingles as text, repeats included: at each character look ahead, then step over it."""
-    return f"regexp_extract_all({line}, r'(?s)(?=(.{{{SHINGLE}}})).', 1)"
+    """Hashes of the line's shingles, repeats included; UTF-32 makes every character four bytes."""
+    at = f"sequence(1, length(w) - {4 * SHINGLE - 1}, 4)"
+    return f"transform(array(encode({line}, 'UTF-32')), w -> transform({at}, i -> xxhash64(substring(w, i, {4 * SHINGLE}))))[0]"
 
 
 def _unproven() -> Column:
@@ -121,6 +126,11 @@ def _beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs
 
 
+def _open(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that bitmaps do not prove apart."""
+    return _beside(pairs, maps).where(_unproven()).select("a", "b")
+
+
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     # each side's shingles are listed once, outside the inner function
@@ -152,22 +162,71 @@ def _sided(rows: DataFrame, side: str) -> DataFrame:
 
 
 def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a bucket: each with the centre, the least line_id, and with the one before it in order.
+    """Pairs (a, b) of members of a bucket: each with the centre, the least line_id, and in a large bucket with the one before it in order.
 
     Members are in order by what other bands say, so that those with most bands in common stand
     side by side.  A large bucket is dealt by the first of these, at about PART members a task.
     """
     centres = saved(members.groupBy("bucket").agg(F.min("line_id").alias("centre"), F.count(F.lit(1)).alias("m")), "centres")
     rows = looked_up(members, centres, ["bucket"], "m").where("m > 1")
-    rows = rows.withColumn("part", F.pmod(F.col("next"), F.ceil(F.col("m") / PART)))
+    large = rows.where(F.col("m") > FEW).withColumn("part", F.pmod(F.col("next"), F.ceil(F.col("m") / PART)))
     before = F.lag("line_id").over(Window.partitionBy("bucket", "part").orderBy("next", "after", "line_id"))
-    rows = rows.select("line_id", "centre", before.alias("before"))
-    rows = rows.select("line_id", F.explode(F.array("centre", "before")).alias("other")).where("other <> line_id")
-    out = saved(rows.select(F.least("line_id", "other").alias("a"), F.greatest("line_id", "other").alias("b")).distinct(), "pairs")
+    both = rows.select("line_id", F.col("centre").alias("other")).union(large.select("line_id", before.alias("other"))).where("other <> line_id")
+    out = saved(both.select(F.least("line_id", "other").alias("a"), F.greatest("line_id", "other").alias("b")).distinct(), "pairs")
     dropped(centres)
     return out
 
 
+def _apart(members: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be near and lie in different components of ``roots``, of every bucket that has some, without ``pairs`` (saved)."""
+    rows = looked_up(members.select("bucket", "line_id"), roots.withColumnRenamed("id", "line_id"), ["line_id"])
+    rows = saved(rows.withColumn("root", F.coalesce("root", "line_id")), "rooted")
+    mixed = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("lo", "hi"), "mixed")
+    left = saved(looked_up(rows, mixed, ["bucket"], "m").where("m IS NOT NULL"), "left")
+    few = left.where(F.col("m") <= FEW).drop("m")
+    few = _sided(few, "a").join(_sided(few, "b"), F.expr("bucket_a = bucket_b AND line_id_a < line_id_b AND root_a <> root_b"))
+    few = few.select(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"))
+    many = saved(left.where(F.col("m") > FEW).select("line_id", "root").distinct(), "many")
+    out = few
+    if not many.isEmpty():
+        out = few.union(_by_shingles(many, sets))
+    out = saved(out.distinct().join(pairs, ["a", "b"], "left_anti"), "apart")
+    dropped(rows, mixed, left, many)
+    return out
+
+
+def _by_shingles(lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``lines (line_id, root)`` of different roots, all that are near among them.
+
+    Near sets share SIMILAR of each, so in one order of all shingles they share one of the first
+    n - SIMILAR * n + 1 of each.  The rarest come first.  In the list of a shingle only members that
+    are not of its most frequent root are joined with the others.
+    """
+    least = SIMILAR - 1e-9
+    listed = sets.join(lines, "line_id").select("line_id", "root", F.explode_outer(F.expr(f"array_distinct({_set('line')})")).alias("h"))
+    listed = saved(listed, "listed")
+    lists = saved(listed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")), "lists")
+    line = Window.partitionBy("line_id")
+    first = looked_up(listed, lists, ["h"], "m").withColumn("n", F.count(F.lit(1)).over(line)).withColumn("place", F.row_number().over(line.orderBy("m", "h")))
+    first = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("lo <> hi")
+    first = saved(first.select("h", "line_id", "root", "n", "place"), "first")
+    most = first.groupBy("h", "root").agg(F.count(F.lit(1)).alias("w")).groupBy("h").agg(F.max_by("root", "w").alias("most"), F.sum("w").alias("m"))
+    most = saved(most, "most")
+    known = saved(looked_up(first, most, ["h"], "m").drop("m"), "known")
+    # of a pair outside the most frequent root the one with the lower line_id looks for the other
+    near = "h_a = h_b AND root_a <> root_b AND (root_b = most_b OR line_id_a < line_id_b)"
+    # what lies before, at and after a shared shingle bounds all that is shared
+    near += f" AND least(place_a, place_b) + least(n_a - place_a, n_b - place_b) >= {least / (1 + least)}D * (n_a + n_b) - 1e-6D"
+    both = _sided(known.where("root <> most"), "a").join(_sided(known, "b"), F.expr(near))
+    # what is shared lies among the first ones of both, or after those of the one that ends first in the order
+    need = f"{least / (1 + least)}D * (n_a + n_b) - 1e-6D - ceil(greatest(n_a, n_b) * {least}D) + 1"
+    both = both.select(F.least("line_id_a", "line_id_b").alias("a"), F.greatest("line_id_a", "line_id_b").alias("b"), F.expr(need).alias("need"))
+    both = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"), F.max("need").alias("need")).where("w >= need")
+    out = saved(both.select("a", "b"), "shingled")
+    dropped(listed, lists, first, most, known)
+    return out
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """key_a, key_b, copies, root, class_id and keep_doc of every line that has a copy or a near line (saved)."""
     signed = saved(_numbered(signatures(docs)), "signed")
@@ -182,14 +241,16 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = _texts(docs, named)
     maps = _maps(sets)
     pairs = _candidates(members)
-    open_ = _beside(pairs, maps).where(_unproven()).select("a", "b")
-    near = saved(_near(open_, sets), "near")
-    roots = components(near)
+    near = saved(_near(_open(pairs, maps), sets), "near")
+    first = components(near)
+    apart = _apart(members, first, sets, pairs)
+    late = saved(_near(_open(apart, maps), sets), "near")
+    roots = components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).union(late))
     every = looked_up(signed.select("line_id", *KEY, "doc", "copies"), roots.withColumnRenamed("id", "line_id"), ["line_id"])
     every = saved(every.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "line_id")), "every")
     keep = saved(every.groupBy("root").agg(F.min("doc").alias("keep_doc"), F.min("key_a").alias("class_id"), F.count(F.lit(1)).alias("w")), "keep")
     out = saved(looked_up(every.select(*KEY, "copies", "root"), keep, ["root"], "w").drop("w"), "classes")
-    dropped(signed, shared, members, wanted, named, sets, maps, pairs, near, roots, every, keep)
+    dropped(signed, shared, members, wanted, named, sets, maps, pairs, near, first, apart, late, roots, every, keep)
     return out
 
 

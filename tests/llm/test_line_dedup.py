@@ -90,3 +90,27 @@ def test_components(spark):
     got = {r.id: r.root for r in spark_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: want[x] for x in linked}
+
+
+def test_every_near_pair_of_a_bucket_is_linked(spark):
+    rnd, lines = random.Random(5), set()
+    for k, size in enumerate([150, 150] + [3, 6, 12] * 20):  # two groups that take large buckets, and small ones
+        base = prose(45, 900 + k).replace("\n", " ")
+        for _ in range(size):  # of one group, hardly nearer than the bound and often below
+            own = list(base)
+            for at in rnd.sample(range(len(own)), rnd.randint(2, 5)):
+                own[at] = rnd.choice("QXZJ")
+            lines.add("".join(own))
+    lines = sorted(lines)
+    sets = [full_shingles(x) for x in lines]
+    docs = table(spark, lines)
+    names = {r.line: (r.key_a, r.key_b) for r in line_dedup.occurrences(docs).select("line", *line_dedup._key()).collect()}
+    bands = {(r.key_a, r.key_b): set(r.bands) for r in line_dedup.signatures(docs).collect()}
+    bands = [bands[names[x]] for x in lines]
+    near = lambda a, b: bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a) if near(a, b)]
+    want = components(len(lines), pairs)
+    got = {r.doc_id: r.class_id for r in line_dedup.decided(docs).collect()}
+    own = [got[k] for k in range(1, len(lines) + 1)]
+    assert len(pairs) > 500 and len(set(want)) > 60
+    assert [own.index(x) for x in own] == [want.index(x) for x in want]
