@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from quernel.llm import line_dedup
 from quernel.llm.common import components as spark_components
 
@@ -92,7 +93,8 @@ def test_components(spark):
     assert got == {x: want[x] for x in linked}
 
 
-def test_every_near_pair_of_a_bucket_is_linked(spark):
+def grouped(spark):
+    """A document a line, the near pairs that share a band, and their components."""
     rnd, lines = random.Random(5), set()
     for k, size in enumerate([150, 150] + [3, 6, 12] * 20):  # two groups that take large buckets, and small ones
         base = prose(45, 900 + k).replace("\n", " ")
@@ -110,7 +112,18 @@ def test_every_near_pair_of_a_bucket_is_linked(spark):
     near = lambda a, b: bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     pairs = [(a, b) for a in range(len(lines)) for b in range(a) if near(a, b)]
     want = components(len(lines), pairs)
+    return docs, pairs, want
+
+
+def test_every_near_pair_of_a_bucket_is_linked(spark):
+    docs, pairs, want = grouped(spark)
     got = {r.doc_id: r.class_id for r in line_dedup.decided(docs).collect()}
-    own = [got[k] for k in range(1, len(lines) + 1)]
+    own = [got[k] for k in range(1, len(want) + 1)]
     assert len(pairs) > 500 and len(set(want)) > 60
     assert [own.index(x) for x in own] == [want.index(x) for x in want]
+
+
+def test_the_pipeline_keeps_one_line_of_a_component(spark):
+    docs, _, want = grouped(spark)
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, None).collect() if r.text}
+    assert left == {want.index(x) + 1 for x in want}
