@@ -9,9 +9,9 @@ Signatures.  The hash of every shingle falls into one of BINS equal ranges, and
 each range is a minimum (one permutation, binned); an empty range takes the minimum of the next
 one.  A range's minimum mostly lies near its lower end, so that of a long line only the part of
 each range where DENSE hashes are expected is looked at.  BANDS take four minima each: neighbours
-(in a short line these are the same shingle more often than not) and four that lie apart.  By
-simulation a pair of similarity 0.8 shares a band with probability 0.996 to 0.998, according to its
-length; at 0.86 it is 0.9995 and more.
+(in a short line these are the same shingle more often than not) and four that lie apart.  Of 60,000
+generated pairs of similarity 0.80 to 0.84 (tails, cuts, other characters, short and long lines) 22
+shared no band.  Such a pair is left out where no other line links its two, unless ``exact`` is asked for.
 
 Verification.  Every two lines that share a band's bucket are compared, unless they are linked
 already.  First each line is compared with the bucket's centre, the member with the most copies,
@@ -20,7 +20,9 @@ are components after that, and no pairs within them are listed.  In the buckets
 lines of several components, all pairs of different components follow: up to FEW members they
 are listed; members of larger ones are paired by rare shingles (prefix filter: sets in one order of
 shingles, the rarest first, share one of their first 1 - SIMILAR if they are near), which leaves out
-no near pair either.  So the components are those of all near pairs that share a band.
+no near pair either.  So the components are those of all near pairs that share a band.  With
+``exact`` the prefix filter pairs all lines there are, whatever bands they share, and the components are
+those of all near pairs; every shingle of every line is then listed and shuffled.
 Comparisons are exact, by 64-bit hashes of all shingles of the two lines (odds of any confusion in a pair
 of 1,000 characters: 10 ** -13), unless bitmaps of their shingles already prove two lines apart.
 
@@ -40,9 +42,9 @@ from .common import components, dropped, looked_up, saved, table
 MIN_CHARS = 10
 SHINGLE = 8
 SIMILAR = 0.8
-BINS, DENSE = 24, 2
-#: Which minima make a band: six rows of neighbours, and nine of one out of every quarter.
-BANDS = [[4 * k + j for j in range(4)] for k in range(6)] + [[6 * j + (k + turn * j) % 6 for j in range(4)] for turn, many in ((0, 6), (1, 3)) for k in range(many)]
+BINS, DENSE = 32, 3
+#: Which minima make a band: eight rows of neighbours, and twice eight of one out of every quarter.
+BANDS = [[4 * k + j for j in range(4)] for k in range(BINS // 4)] + [[BINS // 4 * j + (k + turn * j) % (BINS // 4) for j in range(4)] for turn in (0, 1) for k in range(BINS // 4)]
 #: 64-bit words of the bitmap of a line; a power of two.
 WORDS = 32
 #: Members of a bucket that one task puts in order, about.
@@ -195,6 +197,15 @@ def _apart(members: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFra
     return out
 
 
+def _anywhere(signed: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Like ``_apart``, of all lines instead of those of a bucket (saved)."""
+    rows = looked_up(signed.select("line_id"), roots.withColumnRenamed("id", "line_id"), ["line_id"])
+    rows = saved(rows.withColumn("root", F.coalesce("root", "line_id")), "rooted")
+    out = saved(_by_shingles(rows, sets).join(pairs, ["a", "b"], "left_anti"), "apart")
+    dropped(rows)
+    return out
+
+
 def _by_shingles(lines: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``lines (line_id, root)`` of different roots, all that are near among them.
 
@@ -227,15 +238,18 @@ def _by_shingles(lines: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """key_a, key_b, copies, root, class_id and keep_doc of every line that has a copy or a near line (saved)."""
+def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """key_a, key_b, copies, root, class_id and keep_doc of every line that has a copy or a near line (saved).
+
+    With ``exact`` near pairs that share no band are found too.
+    """
     signed = saved(_numbered(signatures(docs)), "signed")
     keys = signed.select("line_id", "bands", F.posexplode_outer("bands").alias("k", "bucket"))
     other = [F.get("bands", (F.col("k") + d) % len(BANDS)).alias(n) for d, n in ((1, "next"), (2, "after"))]
     keys = keys.select("line_id", "bucket", *other)
     shared = saved(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     members = saved(looked_up(keys, shared, ["bucket"], "m").where("m IS NOT NULL").select("bucket", "line_id", "next", "after"), "members")
-    wanted = saved(members.select("line_id").distinct().withColumn("one", F.lit(1)), "wanted")
+    wanted = saved((signed if exact else members).select("line_id").distinct().withColumn("one", F.lit(1)), "wanted")
     named = looked_up(signed.select("line_id", *KEY, "doc"), wanted, ["line_id"]).where("one IS NOT NULL").drop("one")
     named = saved(named, "named")
     sets = _texts(docs, named)
@@ -243,7 +257,7 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = _candidates(members)
     near = saved(_near(_open(pairs, maps), sets), "near")
     first = components(near)
-    apart = _apart(members, first, sets, pairs)
+    apart = _anywhere(signed, first, sets, pairs) if exact else _apart(members, first, sets, pairs)
     late = saved(_near(_open(apart, maps), sets), "near")
     roots = components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).union(late))
     every = looked_up(signed.select("line_id", *KEY, "doc", "copies"), roots.withColumnRenamed("id", "line_id"), ["line_id"])
@@ -254,12 +268,12 @@ def classes(docs: DataFrame) -> DataFrame:
     return out
 
 
-def decided(docs: DataFrame) -> DataFrame:
+def decided(docs: DataFrame, exact: bool = False) -> DataFrame:
     """One row per line that takes part: doc_id, text_hash, line_no, class_id, keep_doc_id, kept (saved).
 
     ``class_id`` is the least hash of the lines of a class; keep_doc_id is the document whose line stays.
     """
-    found = classes(docs)
+    found = classes(docs, exact)
     rows = occurrences(docs).select("doc_id", _doc(), "text_hash", "line_no", *_key())
     rows = saved(looked_up(rows, found, KEY, "copies").drop("key_b", "copies"), "lines")
     # only lines of the document that keeps the class can stay: one document's for each class
@@ -275,9 +289,9 @@ def decided(docs: DataFrame) -> DataFrame:
     return out
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, exact: bool = False) -> DataFrame:
     """The rows and columns of ``docs``, their texts without the lines that do not stay."""
-    gone = decided(docs).where("NOT kept").select(_doc().alias("l_doc"), F.col("text_hash").alias("l_hash"), "line_no")
+    gone = decided(docs, exact).where("NOT kept").select(_doc().alias("l_doc"), F.col("text_hash").alias("l_hash"), "line_no")
     gone = saved(gone.groupBy("l_doc", "l_hash").agg(F.sort_array(F.collect_set("line_no")).alias("l_gone")).withColumn("l_many", F.size("l_gone")), "gone")
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("l_row"), F.col("text").alias("l_own"), _doc().alias("l_doc"), F.xxhash64("text").alias("l_hash"))

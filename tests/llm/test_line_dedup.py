@@ -127,3 +127,36 @@ def test_the_pipeline_keeps_one_line_of_a_component(spark):
     docs, _, want = grouped(spark)
     left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, None).collect() if r.text}
     assert left == {want.index(x) + 1 for x in want}
+
+
+def generated(many):
+    """Pairs of lines of similarity 0.8 to 0.84: one goes on, or both are cut."""
+    rnd, out = random.Random(6), []
+    r = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    while len(out) < many:
+        n = rnd.choice([rnd.randint(20, 400), rnd.randint(800, 1500)])
+        a, k = r(n), int((n - 7) * 0.111)
+        b = rnd.choice([a + r(int((n - 7) * 0.25)), a[k:] + r(k)])
+        x, y = full_shingles(a), full_shingles(b)
+        if 0.8 <= len(x & y) / len(x | y) < 0.84:
+            out.append((a, b))
+    return out
+
+
+def test_hardly_any_near_pair_shares_no_band(spark):
+    pairs = generated(3000)
+    docs = table(spark, [x for p in pairs for x in p])
+    bands = {r.doc: set(r.bands) for r in line_dedup.signatures(docs).select("doc", "bands").collect()}
+    assert sum(not bands[2 * k + 1] & bands[2 * k + 2] for k in range(len(pairs))) <= 6
+
+
+def test_exact_pairs_need_no_band(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BANDS", line_dedup.BANDS[:2])
+    pairs = generated(60)
+    docs = table(spark, [x for p in pairs for x in p])
+    for exact in (False, True):
+        got = {r.doc_id: r.class_id for r in line_dedup.decided(docs, exact=exact).collect()}
+        linked = [got[2 * k + 1] == got[2 * k + 2] for k in range(len(pairs))]
+        assert all(linked) == exact and len(set(got.values())) == 2 * len(pairs) - sum(linked)
+    left = [r.doc_id for r in line_dedup.line_dedup(docs, exact=True).collect() if r.text]
+    assert sorted(left) == [2 * k + 1 for k in range(len(pairs))]
