@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a few numbers each (some 50 bytes as a hash table) that may be sent to every executor.
 SENT = 1_000_000
+#: For tables written to a local folder: without checksum files, each of which has Hadoop start a further ``chmod`` and so
+#: fork the executor.  Other stores do not read these options.
+_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: A key is hot when one row in so many has it; that many keys can be hot at most.
 HOT = 1000
 
@@ -46,7 +49,7 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**_LOCAL).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -1,5 +1,6 @@
 """Lookups with few and with many keys, hot ones among them; saved tables."""
 
+import os
 import random
 
 import pytest
@@ -34,6 +35,14 @@ def test_components_of_many_edges(spark, monkeypatch):
     assert got == {x: want[x] for a, b in edges if a != b for x in (a, b)}
 
 
+def test_saved_tables_have_no_checksum_files(spark):
+    df = common.saved(spark.range(50), "numbers")
+    names = os.listdir(df._saved_at.removeprefix("file://"))
+    assert any(x.endswith(".parquet") for x in names) and not any(x.endswith(".crc") for x in names)
+    assert sorted(r.id for r in df.collect()) == list(range(50))
+    common.dropped(df)
+
+
 def test_dropped_tables_are_gone(spark):
     df = common.saved(spark.range(5), "numbers")
     assert df.count() == 5
