@@ -210,7 +210,8 @@ def _by_shingles(lines: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``lines (line_id, root)`` of different roots, all that are near among them.
 
     Near sets share SIMILAR of each, so in one order of all shingles they share one of the first
-    n - SIMILAR * n + 1 of each.  The rarest come first.  In the list of a shingle only members that
+    n - SIMILAR * n + 1 of each, and among two sets of known sizes in fewer: of equal sizes, in the
+    first ninth.  The rarest come first.  In the list of a shingle only members that
     are not of its most frequent root are joined with the others.
     """
     least = SIMILAR - 1e-9
@@ -224,18 +225,20 @@ def _by_shingles(lines: DataFrame, sets: DataFrame) -> DataFrame:
     most = first.groupBy("h", "root").agg(F.count(F.lit(1)).alias("w")).groupBy("h").agg(F.max_by("root", "w").alias("most"), F.sum("w").alias("m"))
     most = saved(most, "most")
     known = saved(looked_up(first, most, ["h"], "m").drop("m"), "known")
+    out = saved(_meeting(known).distinct(), "shingled")
+    dropped(listed, lists, first, most, known)
+    return out
+
+
+def _meeting(known: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a shingle of ``known (h, line_id, root, n, place, most)`` early enough to be near; one row a shingle."""
     # of a pair outside the most frequent root the one with the lower line_id looks for the other
     near = "h_a = h_b AND root_a <> root_b AND (root_b = most_b OR line_id_a < line_id_b)"
-    # what lies before, at and after a shared shingle bounds all that is shared
-    near += f" AND least(place_a, place_b) + least(n_a - place_a, n_b - place_b) >= {least / (1 + least)}D * (n_a + n_b) - 1e-6D"
+    # sets of these sizes share so many if they are near, and the first one shared has all of them from its place on, in both
+    share = f"{(SIMILAR - 1e-9) / (1 + SIMILAR - 1e-9)}D * (n_a + n_b) - 1e-6D"
+    near += f" AND n_a - place_a + 1 >= {share} AND n_b - place_b + 1 >= {share}"
     both = _sided(known.where("root <> most"), "a").join(_sided(known, "b"), F.expr(near))
-    # what is shared lies among the first ones of both, or after those of the one that ends first in the order
-    need = f"{least / (1 + least)}D * (n_a + n_b) - 1e-6D - ceil(greatest(n_a, n_b) * {least}D) + 1"
-    both = both.select(F.least("line_id_a", "line_id_b").alias("a"), F.greatest("line_id_a", "line_id_b").alias("b"), F.expr(need).alias("need"))
-    both = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"), F.max("need").alias("need")).where("w >= need")
-    out = saved(both.select("a", "b"), "shingled")
-    dropped(listed, lists, first, most, known)
-    return out
+    return both.select(F.least("line_id_a", "line_id_b").alias("a"), F.greatest("line_id_a", "line_id_b").alias("b"))
 
 
 def classes(docs: DataFrame, exact: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from quernel.llm import line_dedup
 from quernel.llm.common import components as spark_components
+from quernel.llm.common import saved
 
 from .helpers import components, prose, table
 
@@ -160,3 +161,20 @@ def test_exact_pairs_need_no_band(spark, monkeypatch):
         assert all(linked) == exact and len(set(got.values())) == 2 * len(pairs) - sum(linked)
     left = [r.doc_id for r in line_dedup.line_dedup(docs, exact=True).collect() if r.text]
     assert sorted(left) == [2 * k + 1 for k in range(len(pairs))]
+
+
+def test_lines_with_one_passage_do_not_meet(spark, monkeypatch):
+    """300 lines, 15 in 100 of each its own: all pairs share a passage, and hardly any is near."""
+    rnd, passage = random.Random(8), prose(60, 31).replace("\n", " ")
+    own = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = [passage + own(len(passage) * 18 // 100) for _ in range(300)]
+    lines += [x[:-1] + "Q" for x in lines[:40]] + [passage + x[-len(passage) // 10 :] for x in lines[40:60]]
+    sets = [full_shingles(x) for x in lines]
+    pairs = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    met = []
+    meeting = line_dedup._meeting
+    monkeypatch.setattr(line_dedup, "_meeting", lambda known: met.append(meeting(known).collect()) or meeting(known))
+    rows = saved(spark.createDataFrame(list(enumerate(lines)), "line_id long, line string"), "sets")
+    got = line_dedup._by_shingles(rows.selectExpr("line_id", "line_id AS root"), rows).collect()
+    assert pairs <= {(r.a, r.b) for r in got} and len(pairs) >= 40
+    assert len(met[0]) < 10_000 < 300 * 299 // 2
