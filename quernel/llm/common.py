@@ -15,6 +15,8 @@ SENT = 1_000_000
 #: For tables written to a local folder: without checksum files, each of which has Hadoop start a further ``chmod`` and so
 #: fork the executor.  Other stores do not read these options.
 _LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Spark's own setting by which a query's shuffle files go when it has ended, not when the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A key is hot when one row in so many has it; that many keys can be hot at most.
 HOT = 1000
 
@@ -45,11 +47,17 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there.
 
     A lost executor costs no recomputation of what came before, and rows keep their
-    order within files, so that ids derived from file positions stay as they are.
+    order within files, so that ids derived from file positions stay as they are.  What was shuffled
+    on the way is deleted at once: nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.options(**_LOCAL).parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.options(**_LOCAL).parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

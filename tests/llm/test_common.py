@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 
@@ -43,6 +44,21 @@ def test_saved_tables_have_no_checksum_files(spark):
     common.dropped(df)
 
 
+def test_saved_tables_leave_no_shuffle_files(spark):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x for d in dirs for _, _, names in os.walk(d) for x in names if x.startswith("shuffle_")}
+    before = files()
+    rows = spark.range(5000).selectExpr("id % 700 AS k").groupBy("k").count()  # held on to, so that no garbage is collected
+    df = common.saved(rows, "numbers")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+    assert df.count() == rows.count() == 700 and spark.conf.get(common._TIDY) == "false"
+    common.dropped(df)
+
+
 def test_dropped_tables_are_gone(spark):
     df = common.saved(spark.range(5), "numbers")
     assert df.count() == 5
