@@ -36,6 +36,22 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
     return left.join(right, left[ident(left_key)] == right[ident(right_key)], how)
 
 
+def join_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, left_column: str, right_column: str) -> DataFrame:
+    """How many rows ``join`` has (``n``), and how many with a value in a column of either side.
+
+    Both sides are counted by key before, and two keys that meet stand for the product of their rows:
+    the join has a row a key, however many rows share one.
+    """
+
+    def by_key(df: DataFrame, side: str, key: str, column: str) -> DataFrame:
+        return df.groupBy(F.col(ident(key)).alias(f"{side}::key")).agg(F.count(F.lit(1)).alias(f"{side}::n"), F.count(F.col(ident(column))).alias(f"{side}::known"))
+
+    both = join(by_key(left, "l", left_key, left_column), by_key(right, "r", right_key, right_column), "l::key", "r::key", how)
+    a, b = (F.coalesce(F.col(ident(f"{side}::n")), F.lit(1)) for side in "lr")  # what has no match stands once for each of its rows
+    counts = {"n": a * b, "left_rows": F.col(ident("l::known")) * b, "right_rows": F.col(ident("r::known")) * a}
+    return both.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in counts.items()))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """By position, duplicates kept; every branch selects the same outputs in order."""
     return reduce(DataFrame.union, frames)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .model import Schema, load
-from .operators.combine import join, union_all
+from .operators.combine import join_counts, union_all
 
 DIGITS = 2
 
@@ -239,7 +239,7 @@ def describe_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of the four join types over two whole tables: nations start at 0 and end at 24, sizes of parts run from 1 to 50."""
     supplier, part = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("supplier", "part"))
-    counts = [join(supplier, part, "s_nationkey", "p_size", how).agg(F.count(F.lit(1)).alias("n"), F.count("s_suppkey").alias("left_rows"), F.count("p_name").alias("right_rows")).select(F.lit(how).alias("how"), "*") for how in ("inner", "left", "right", "full")]
+    counts = [join_counts(supplier, part, "s_nationkey", "p_size", how, "s_suppkey", "p_name").select(F.lit(how).alias("how"), "*") for how in ("inner", "left", "right", "full")]
     return union_all(counts)
 
 
